@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.operators.scale import lookup, running_sum, text_bucket
+from seqlab.session import written
 from seqlab.sources.corpora import KEY
 
 BEGIN = "<s>"
@@ -53,15 +54,14 @@ def conditional(counts: DataFrame, context: list[str], out: str) -> DataFrame:
     if not context:
         total = counts.agg(F.sum("n")).scalar()
         return counts.withColumn(out, F.col("n") / total)
-    totals = counts.groupBy(*context).agg(
-        F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_rows")
-    )
-    freq = totals.select(*context, F.col("_rows").alias("n"))
-    found = lookup(counts, totals.select(*context, "_total"), context, freq)
+    totals = counts.groupBy(*context).agg(F.sum("n").alias("_total"))
+    found = lookup(counts, totals, context)
     return found.withColumn(out, F.col("n") / F.col("_total")).drop("_total")
 
 
 def fit(counts: DataFrame) -> NGramModel:
+    """The three orders from trigram counts, which are written once and read by each."""
+    counts = written(counts, "trigrams")
     bi = lower_order(counts, "w2", "w3")
     uni = lower_order(bi, "w3")
     return NGramModel(
@@ -71,13 +71,12 @@ def fit(counts: DataFrame) -> NGramModel:
     )
 
 
-def backoff(grams: DataFrame, model: NGramModel, freqs: bool = False) -> DataFrame:
+def backoff(grams: DataFrame, model: NGramModel) -> DataFrame:
     """Join the three orders to rows of (w1, w2, w3): columns n3 n2 n1 p3 p2 p1."""
     tri = model.tri.select(*GRAM, F.col("n").alias("n3"), "p3")
     bi = model.bi.select("w2", "w3", F.col("n").alias("n2"), "p2")
     uni = model.uni.select("w3", F.col("n").alias("n1"), "p1")
-    found = lookup(grams, tri, GRAM) if freqs else grams.join(tri, GRAM, "left")
-    return lookup(lookup(found, bi, ["w2", "w3"]), uni, ["w3"])
+    return lookup(lookup(lookup(grams, tri, GRAM), bi, ["w2", "w3"]), uni, ["w3"])
 
 
 def interpolate(l1: float | Column, l2: float | Column) -> Column:
@@ -124,6 +123,7 @@ def sentence_loglik(sentences: DataFrame, model: NGramModel, l1: float, l2: floa
     # Score each distinct trigram once, then bring the result back to its places.
     grams = rows.groupBy(*GRAM).agg(F.count(F.lit(1)).alias("m"))
     scored = backoff(grams, model).select(*GRAM, "m", F.log2(interpolate(l1, l2)).alias("lg"))
+    scored = written(scored, "scored")
     freq = scored.select(*GRAM, F.col("m").alias("n"))
     found = lookup(rows, scored.select(*GRAM, "lg"), GRAM, freq)
     return found.groupBy(*KEY).agg(
@@ -158,8 +158,7 @@ def cdf(counts: DataFrame, context: list[str], element: str) -> DataFrame:
         totals = counts.groupBy(*context).agg(
             F.sum("n").alias("total"), F.count(F.lit(1)).alias("size")
         )
-        freq = totals.select(*context, F.col("size").alias("n"))
-        both = lookup(cumulated, totals, context, freq)
+        both = lookup(cumulated, totals, context)
     else:
         both = cumulated.select(
             "*",

@@ -237,7 +237,7 @@ def _beam_pass(ids, generator, validator, scorer, b: BeamSettings, seed: str) ->
         else:
             ident = (F.lit(seed), F.lit(at), F.col("id"), F.col("cand"), F.col("try"))
             drawn = next_words(each, generator, b.l1, b.l2, uniform(0, *ident, F.lit("mode")), uniform(0, *ident, F.lit("word")))
-        scored = backoff(drawn.withColumn("w3", F.col("word")), validator, freqs=True)
+        scored = backoff(drawn.withColumn("w3", F.col("word")), validator)
         step = F.coalesce(F.log2(interpolate(b.l1, b.l2)), F.lit(float("-inf")))
         rows = scored.withColumn("log2_sum", F.col("log2_sum") + step)
         if at > 2:

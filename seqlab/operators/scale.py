@@ -37,18 +37,20 @@ def lookup(
 ) -> DataFrame:
     """Left join to a table that is unique on ``keys``, safe when few keys hold most rows.
 
-    Rows of heavy keys find their partner in a broadcast table; in the shuffle join they
-    are spread by a salt that meets nothing. ``freq`` is (keys, n), the row counts of
-    ``left`` per key, where the caller has them already.
+    Without ``freq`` this is a plain join: adaptive execution broadcasts the right side when
+    its measured size allows, and otherwise splits skewed partitions of the left side.
+    With ``freq`` (keys, n), the row counts of ``left`` per key, heavy keys are looked for
+    first; if there are any, their rows find their partner in a broadcast table and are
+    spread by a salt in the shuffle join, where they meet nothing.
     """
+    rows = left.columns
     payload = [c for c in right.columns if c not in keys]
-    if freq is None:
-        freq = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    marked = heavy_keys(freq).select(*keys, F.lit(True).alias("_heavy"))
+    marked = None if freq is None else heavy_keys(freq).select(*keys, F.lit(True).alias("_heavy"))
+    if marked is None or marked.isEmpty():
+        return left.join(right, keys, "left").select(*rows, *payload)
     heavy = marked.join(
         right.select(*keys, *[F.col(c).alias(f"_h_{c}") for c in payload]), keys, "left"
     )
-    rows = left.columns
     apart = F.col("_heavy") | F.col(keys[0]).isNull()
     salt = F.when(apart, F.pmod(F.xxhash64(*rows), F.lit(SALTS)) + 1).otherwise(0)
     salted = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt.cast("int"))
@@ -61,7 +63,7 @@ def lookup(
 def running_sum(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list,
     bucket: Column,
     value: Column,
     out: str,
@@ -70,12 +72,15 @@ def running_sum(
 
     ``bucket`` must not decrease along the order. Heavy key groups (and the whole table,
     when there are no keys) are cut into buckets that run in parallel; the sums of earlier
-    buckets come from a table with one row per bucket.
+    buckets come from a table with one row per bucket. Without heavy keys one window does.
     """
     marked = df.withColumn("_value", value)
     if keys:
         freq = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         heavy = heavy_keys(freq).select(*keys, F.lit(True).alias("_heavy"))
+        if heavy.isEmpty():
+            w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+            return marked.withColumn(out, F.sum("_value").over(w)).drop("_value")
         marked = marked.join(F.broadcast(heavy), keys, "left").withColumn(
             "_bucket", F.when(F.col("_heavy"), bucket)
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.text import ascii_lower, word_class
 from seqlab.operators.scale import lookup, number_rows, text_bucket
+from seqlab.session import written
 from seqlab.sources.corpora import KEY, TOKEN
 
 
@@ -66,6 +67,7 @@ def _norms(words: DataFrame, keep: Column, frequent: DataFrame) -> DataFrame:
 
 def preprocess(tokens: DataFrame, norms: DataFrame) -> DataFrame:
     """Replace rare words; the original stays in ``orig``, ``replaced`` tells which changed."""
+    norms = written(norms, "norms")
     freq = norms.select("word", F.col("total").alias("n"))
     found = lookup(tokens, norms.select("word", "keep", "as_first", "as_later"), ["word"], freq)
     new = F.when(F.col("pos") == 0, F.col("as_first")).otherwise(F.col("as_later"))

@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def split_by_filter(sentences: DataFrame, allowed: Column) -> tuple[DataFrame, DataFrame]:
     """Sentences that may be labelled, and the rejected ones as their own table."""
     return sentences.where(allowed), sentences.where(~allowed)
+
+
+def with_grid(rows: DataFrame, params: dict[str, list], condition: Column) -> DataFrame:
+    """Each row with every admissible combination of the parameters, generated in place."""
+    for name, values in params.items():
+        rows = rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return rows.where(condition)

@@ -9,7 +9,7 @@ from seqlab.functions import text as tx
 from seqlab.operators import selection, tagging, vocab
 from seqlab.plans.fragments import MIN_FREQ, TOP_N
 from seqlab.plans.registry import big, query, r6
-from seqlab.session import work_path
+from seqlab.session import work_path, written
 from seqlab.sources import files
 from seqlab.sources.corpora import (
     KEY, TOKEN, benchmark_sentences, conversation_tokens, document_sentences, drop_empty, pack, seq, seq_tokens,
@@ -258,7 +258,7 @@ def vocab_lookup(spark, d):
     from seqlab.operators.scale import lookup
 
     rows = tokens(tok(spark, d))
-    counts = vocab.vocab_count(rows)
+    counts = written(vocab.vocab_count(rows), "counts")
     found = lookup(rows, counts.withColumnRenamed("n", "total"), ["word"], counts)
     return found.groupBy("src_id", big("seg").alias("seg")).agg(F.sum("total").alias("total"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.text import split_of
 from seqlab.operators.scale import number_rows
-from seqlab.session import spread
+from seqlab.session import spread, written
 
 KEY = ["src_id", "seg"]
 TOKEN = ["src_id", "seg", "pos"]
@@ -118,7 +118,8 @@ def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_tokens(table(spark, sf_dir, "events"))
+    """Event sequences, numbered once and written for the several jobs that read them."""
+    return written(event_tokens(table(spark, sf_dir, "events")), "sequences")
 
 
 def seq(spark: SparkSession, sf_dir: str) -> DataFrame:

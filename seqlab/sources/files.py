@@ -108,7 +108,7 @@ def parse_run_logs(
 ) -> DataFrame:
     """Long metrics of finished runs: after each header's last occurrence comes its list."""
     names = F.array(*[F.lit(h) for h in headers or LOG_HEADERS])
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     done = files.where(F.col("value").contains(marker)).select(
         F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines")
     )
