@@ -2,44 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def softmax(z: Column) -> Column:
     """Max-subtracted softmax, exponents clipped at -300."""
-    e = F.transform(z, lambda x: F.exp(F.greatest(x - F.array_max(z), F.lit(-300.0))))
-    return F.transform(e, lambda x: x / array_total(e))
+
+    def exponents(zs: Column) -> Column:
+        return let(F.array_max(zs), lambda m: F.transform(zs, lambda x: F.exp(F.greatest(x - m, F.lit(-300.0)))))
+
+    def scaled(e: Column) -> Column:
+        return let(array_total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(let(z, exponents), scaled)
 
 
 def log_odds(p: Column, ref: int) -> Column:
     """``ln p[ref] - ln p[k]`` for every k but ``ref``; null where a probability is 0."""
-    base = F.element_at(p, ref + 1)
-    odds = F.transform(p, lambda x: F.when((x > 0) & (base > 0), F.ln(base) - F.ln(x)))
-    return F.filter(odds, lambda _x, i: i != ref)
+
+    def odds(ps: Column) -> Column:
+        return let(
+            F.element_at(ps, ref + 1),
+            lambda base: F.transform(ps, lambda x: F.when((x > 0) & (base > 0), F.ln(base) - F.ln(x))),
+        )
+
+    return F.filter(let(p, odds), lambda _x, i: i != ref)
 
 
 def argmax(p: Column) -> Column:
     """Index of the largest entry, the first on ties."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return let(p, lambda ps: (F.array_position(ps, F.array_max(ps)) - 1).cast("int"))
 
 
 def top_k(values: Column, k: int) -> Column:
     return F.slice(F.sort_array(values, asc=False), 1, k)
 
 
-def one_hot(label: Column, size: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), size - 1), lambda k: (k == label).cast("double"))
+def one_hot(label: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (k == label).cast("double"))
 
 
-def smooth_one_hot(label: Column, size: Column) -> Column:
+def smooth_one_hot(label: Column, size: int) -> Column:
     """1/100 in every cell and ``1 - max_label/100`` at the label."""
-    top = F.lit(1.0) - (size - 1) / F.lit(100.0)
-    cells = F.sequence(F.lit(0), size - 1)
+    top = F.lit(1.0 - (size - 1) / 100.0)
+    cells = F.sequence(F.lit(0), F.lit(size - 1))
     return F.transform(cells, lambda k: F.when(k == label, top).otherwise(F.lit(0.01)))
 
 
@@ -49,8 +67,7 @@ def entropy(p: Column) -> Column:
 
 def margin(p: Column) -> Column:
     """Minus the gap between the two largest probabilities."""
-    two = top_k(p, 2)
-    return F.element_at(two, 2) - F.element_at(two, 1)
+    return let(top_k(p, 2), lambda two: F.element_at(two, 2) - F.element_at(two, 1))
 
 
 def square_sum(p: Column) -> Column:

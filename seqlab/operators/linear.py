@@ -7,21 +7,23 @@ array of the same length held with the tag list. Long form is ``(feature, class_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import feature_array
-from seqlab.functions.vectors import argmax, softmax
+from seqlab.functions.vectors import argmax, array_total, let, softmax
 from seqlab.operators.features import context_rows
 from seqlab.operators.scale import checked_small, lookup
-from seqlab.sources.corpora import KEY, TOKEN, pack
 from seqlab.session import written
+from seqlab.sources.corpora import KEY, TOKEN, pack
 
 # Weights that pass through the driver in the built-in trainer.
 MAX_DRIVER_WEIGHTS = 20_000_000
@@ -86,13 +88,17 @@ def long_probs(probs: DataFrame, *keep: str) -> DataFrame:
     return probs.select(*keep, F.posexplode("p").alias("class_id", "p"))
 
 
+def of_history(feature: Column) -> Column:
+    """Whether a feature name depends on earlier predictions."""
+    return reduce(lambda a, b: a | b, [feature.startswith(prefix) for prefix in HISTORY])
+
+
 def history_weights(model: LinearModel) -> dict[str, list[float]]:
     """Weights of the features that depend on earlier predictions: (K+1)^2 + 2(K+1) at most."""
     k = len(model.tags) + 1
-    known = F.lit(False)
-    for prefix in HISTORY:
-        known = known | F.col("feature").startswith(prefix)
-    rows = checked_small(model.weights.where(known), k * k + 2 * k, "tag-history features")
+    rows = checked_small(
+        model.weights.where(of_history(F.col("feature"))), k * k + 2 * k, "tag-history features"
+    )
     return {r.feature: list(r.w) for r in rows}
 
 
@@ -103,9 +109,7 @@ def word_scores(sentences: DataFrame, model: LinearModel) -> DataFrame:
     placeholder = {c: F.col(c) for c in ("word", "next_word", "prev_word", "prevprev_word")}
     placeholder["prev_tag"] = F.when(F.col("pos") == 0, "*").otherwise("")
     placeholder["prevprev_tag"] = F.when(F.col("pos") <= 1, "*").otherwise("")
-    names = feature_array(placeholder)
-    for prefix in HISTORY:
-        names = F.filter(names, lambda f, p=prefix: ~f.startswith(p))
+    names = F.filter(feature_array(placeholder), lambda f: ~of_history(f))
     keep = [*TOKEN, "split", "word", "tag"]
     return scores(rows.select(*keep, names.alias("features")), model, keep)
 
@@ -183,10 +187,8 @@ def _decode(sentences: DataFrame, model: LinearModel) -> DataFrame:
 def center(model: LinearModel) -> LinearModel:
     """Subtract each feature's mean over classes, and that of the bias; predictions stay."""
     k = float(len(model.tags))
-    mean = F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / k
-    weights = model.weights.withColumn("_mean", mean).select(
-        "feature", F.transform("w", lambda x: x - F.col("_mean")).alias("w")
-    )
+    centered = let(array_total(F.col("w")) / k, lambda m: F.transform("w", lambda x: x - m))
+    weights = model.weights.select("feature", centered.alias("w"))
     shift = sum(model.bias) / k
     return LinearModel(model.tags, weights, [b - shift for b in model.bias])
 
@@ -258,9 +260,8 @@ def train_softmax(
         regParam=2.0 * reg, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9,
     ).fit(data)
     w = fit.coefficientMatrix.toArray()
-    spark = rows.sparkSession
-    pdf = pd.DataFrame({"feature": order, "w": list(w.T)})
-    weights = spark.createDataFrame(pdf, "feature string, w array<double>")
+    arrow = pa.table({"feature": pa.array(order), "w": pa.array(list(w.T), pa.list_(pa.float64()))})
+    weights = rows.sparkSession.createDataFrame(arrow)
     return LinearModel(tags, weights, [float(b) for b in fit.interceptVector.toArray()])
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from seqlab.plans import hmm_queries, lm_queries, text_queries  # noqa: F401
+from seqlab.plans import hmm_queries, linear_queries, lm_queries, text_queries  # noqa: F401
 from seqlab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -242,6 +242,18 @@ FRAGMENTS: dict[str, str] = {
     "student_z": score_sql("eval_feats", "student_w", "student_b"),
     "teacher_p": softmax_sql("teacher_z", "src_id, seg, pos"),
     "student_p": softmax_sql("student_z", "src_id, seg, pos"),
+    "seq_norm": (
+        f"SELECT v.word, CASE WHEN v.n >= {MIN_FREQ} THEN v.word ELSE {class_sql('v.word', True, 'l.word IS NOT NULL')} END AS as_first, "
+        f"CASE WHEN v.n >= {MIN_FREQ} THEN v.word ELSE {class_sql('v.word', False, '')} END AS as_later FROM "
+        "(SELECT word, count(*) FILTER (split = 'train') AS n FROM seq GROUP BY word) v LEFT JOIN "
+        f"(SELECT word FROM seq WHERE split = 'train' GROUP BY word HAVING count(*) >= {MIN_FREQ}) l ON l.word = {lower_sql('v.word')}"
+    ),
+    "seq_pre": (
+        "SELECT t.src_id, t.seg, t.pos, t.split, t.tag, CASE WHEN t.pos = 0 THEN n.as_first ELSE n.as_later END AS word "
+        "FROM seq t JOIN seq_norm n ON n.word = t.word"
+    ),
+    "seq_pre_ctx": context_sql("seq_pre"),
+    "seq_pre_feats": features_sql("seq_pre_ctx"),
     "flag_names": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FLAG_NAMES) + "]) AS feature",
     "feat_vocab": (
         "SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM "
