@@ -122,10 +122,18 @@ def vocab_chunks(words: DataFrame, length: int, passes: int, seed: int) -> DataF
 
 def best_share(df: DataFrame, score: str, keys: list[str], one_in: int) -> DataFrame:
     """The best ``count // one_in`` rows by score, ids on ties: nothing is used twice."""
-    slot = -F.floor(F.col(score) * 4096)
-    ranked = number_rows(df, [], [F.desc(score), *keys], slot, "rank")
     size = df.agg(F.count(F.lit(1))).scalar()
-    return ranked.where(F.col("rank") < F.floor(size / one_in))
+    return ranked_by_score(df, score, keys).where(F.col("rank") < F.floor(size / one_in))
+
+
+def best_n(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
+    return ranked_by_score(df, score, keys).where(F.col("rank") < n)
+
+
+def ranked_by_score(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """Add the 0-based ``rank`` by falling score. Slices of the score run in parallel."""
+    slot = -F.floor(F.col(score) * 4096)
+    return number_rows(df, [], [F.desc(score), *keys], slot, "rank")
 
 
 def usage_scores(words: DataFrame, used: DataFrame, vocab: DataFrame) -> DataFrame:

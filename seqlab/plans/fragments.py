@@ -252,6 +252,13 @@ FRAGMENTS: dict[str, str] = {
         "SELECT t.src_id, t.seg, t.pos, t.split, t.tag, CASE WHEN t.pos = 0 THEN n.as_first ELSE n.as_later END AS word "
         "FROM seq t JOIN seq_norm n ON n.word = t.word"
     ),
+    "seq_top": "SELECT word FROM seq_pre WHERE split = 'train' GROUP BY word ORDER BY count(*) DESC, word LIMIT 60",
+    "seq_allow": (
+        f"SELECT CASE WHEN k.word IS NOT NULL THEN t.word WHEN t.pos = 0 THEN {class_sql('t.word', True, 'l.word IS NOT NULL')} "
+        f"ELSE {class_sql('t.word', False, '')} END AS word FROM seq t LEFT JOIN seq_top k ON k.word = t.word "
+        f"LEFT JOIN seq_top l ON l.word = {lower_sql('t.word')}"
+    ),
+    "bench_tok": "SELECT src_id, seg, unnest(words) AS word FROM bench_sent",
     "seq_pre_ctx": context_sql("seq_pre"),
     "seq_pre_feats": features_sql("seq_pre_ctx"),
     "flag_names": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FLAG_NAMES) + "]) AS feature",

@@ -34,9 +34,13 @@ def words_of(sentence: Column) -> Column:
     return F.array_remove(F.split(spaced, "[ \t\r]+"), "")
 
 
-def document_sentences(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Sentences of whole documents; the tag of every token is the language of its document."""
-    lines = spread(docs.select("doc_id", "text", "lang"), "doc_id").select(
+def document_sentences(docs: DataFrame, keep_empty: bool = False, scan: bool = True) -> DataFrame:
+    """Sentences of whole documents; the tag of every token is the language of its document.
+
+    ``scan`` tells that ``docs`` is a file scan that may be too coarse, not a stream.
+    """
+    docs = docs.select("doc_id", "text", "lang")
+    lines = (spread(docs, "doc_id") if scan else docs).select(
         F.col("doc_id").alias("src_id"),
         split_of(F.col("doc_id")).alias("split"),
         F.col("lang"),
