@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.functions.text import FLAG_NAMES, feature_array, feature_family
+from seqlab.functions.text import FLAG_NAMES, ascii_lower, feature_array, feature_family
 from seqlab.operators.scale import lookup, number_rows, text_bucket
 from seqlab.sources.corpora import KEY, TOKEN
 
@@ -25,10 +25,13 @@ def _shifted(column: str, by: int, pad: str) -> Column:
 def context_rows(sentences: DataFrame) -> DataFrame:
     """Tokens with previous and next words and previous tags. Neighbours come from the packed
     sentence, so there is no window and no shuffle."""
+    # The words of a sentence are lowered together: one call instead of one per feature.
+    lowered = F.split(ascii_lower(F.array_join("words", "\u0001")), "\u0001")
     z = sentences.select(
         *KEY,
         "split",
         F.col("words").alias("word"),
+        lowered.alias("lowered"),
         F.col("tags").alias("tag"),
         _shifted("words", -1, END_WORD).alias("next_word"),
         _shifted("words", 1, BEGIN_WORD).alias("prev_word"),
@@ -36,7 +39,7 @@ def context_rows(sentences: DataFrame) -> DataFrame:
         _shifted("tags", 1, BEGIN_TAG).alias("prev_tag"),
         _shifted("tags", 2, BEGIN_TAG).alias("prevprev_tag"),
     )
-    fields = ["word", "tag", "next_word", "prev_word", "prevprev_word", "prev_tag", "prevprev_tag"]
+    fields = ["word", "tag", "lowered", "next_word", "prev_word", "prevprev_word", "prev_tag", "prevprev_tag"]
     rows = z.select(*KEY, "split", F.posexplode(F.arrays_zip(*fields)).alias("pos", "t"))
     return rows.select(*TOKEN, "split", "t.*")
 

@@ -106,7 +106,7 @@ def word_scores(sentences: DataFrame, model: LinearModel) -> DataFrame:
     """Score of everything but the tag history, per token. Only whether a previous tag exists
     matters to the capital flags, and that is known from the position."""
     rows = context_rows(sentences)
-    placeholder = {c: F.col(c) for c in ("word", "next_word", "prev_word", "prevprev_word")}
+    placeholder = {c: F.col(c) for c in ("word", "lowered", "next_word", "prev_word", "prevprev_word")}
     placeholder["prev_tag"] = F.when(F.col("pos") == 0, "*").otherwise("")
     placeholder["prevprev_tag"] = F.when(F.col("pos") <= 1, "*").otherwise("")
     names = F.filter(feature_array(placeholder), lambda f: ~of_history(f))

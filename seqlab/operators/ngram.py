@@ -17,11 +17,12 @@ GRAM = ["w1", "w2", "w3"]
 
 
 class NGramModel(NamedTuple):
-    """Counts ``n`` and conditional probabilities ``p`` of each order."""
+    """Counts ``n`` of each order. The total of a context is the count of that context as a
+    gram of the order below (sentence starts apart), so no further table is needed."""
 
-    tri: DataFrame  # w1 w2 w3 n p3
-    bi: DataFrame  # w2 w3 n p2
-    uni: DataFrame  # w3 n p1
+    tri: DataFrame  # w1 w2 w3 n
+    bi: DataFrame  # w2 w3 n
+    uni: DataFrame  # w3 n
 
 
 def padded(words: Column) -> Column:
@@ -60,23 +61,43 @@ def conditional(counts: DataFrame, context: list[str], out: str) -> DataFrame:
 
 
 def fit(counts: DataFrame) -> NGramModel:
-    """The three orders from trigram counts, which are written once and read by each."""
-    counts = written(counts, "trigrams")
-    bi = lower_order(counts, "w2", "w3")
-    uni = lower_order(bi, "w3")
-    return NGramModel(
-        conditional(counts, ["w1", "w2"], "p3"),
-        conditional(bi, ["w2"], "p2"),
-        conditional(uni, [], "p1"),
+    """The three orders from trigram counts, each written once: a model is a set of tables."""
+    tri = written(counts, "trigrams")
+    bi = written(lower_order(tri, "w2", "w3"), "bigrams")
+    return NGramModel(tri, bi, written(lower_order(bi, "w3"), "unigrams"))
+
+
+def contexts(model: NGramModel) -> tuple[DataFrame, DataFrame]:
+    """Totals of bigram contexts (w1, w2, c3) and of unigram contexts (w2, c2).
+
+    Every gram that does not end a sentence is followed by exactly one word, so its count is
+    its total as a context. The padding never ends a gram; its total is the sentence count.
+    """
+    starts = model.bi.where(F.col("w2") == BEGIN).agg(F.sum("n").alias("n"))
+    begin = F.lit(BEGIN)
+    pairs = model.bi.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), F.col("n").alias("c3"))
+    words = model.uni.select(F.col("w3").alias("w2"), F.col("n").alias("c2"))
+    return (
+        pairs.union(starts.select(begin, begin, "n")),
+        words.union(starts.select(begin, "n")),
     )
 
 
 def backoff(grams: DataFrame, model: NGramModel) -> DataFrame:
     """Join the three orders to rows of (w1, w2, w3): columns n3 n2 n1 p3 p2 p1."""
-    tri = model.tri.select(*GRAM, F.col("n").alias("n3"), "p3")
-    bi = model.bi.select("w2", "w3", F.col("n").alias("n2"), "p2")
-    uni = model.uni.select("w3", F.col("n").alias("n1"), "p1")
-    return lookup(lookup(lookup(grams, tri, GRAM), bi, ["w2", "w3"]), uni, ["w3"])
+    total = model.uni.agg(F.sum("n")).scalar()
+    pair_totals, word_totals = contexts(model)
+    found = lookup(grams, model.tri.select(*GRAM, F.col("n").alias("n3")), GRAM)
+    found = lookup(found, pair_totals, ["w1", "w2"])
+    found = lookup(found, model.bi.select("w2", "w3", F.col("n").alias("n2")), ["w2", "w3"])
+    found = lookup(found, word_totals, ["w2"])
+    found = lookup(found, model.uni.select("w3", F.col("n").alias("n1")), ["w3"])
+    return found.select(
+        *grams.columns, "n3", "n2", "n1",
+        (F.col("n3") / F.col("c3")).alias("p3"),
+        (F.col("n2") / F.col("c2")).alias("p2"),
+        (F.col("n1") / total).alias("p1"),
+    )
 
 
 def interpolate(l1: float | Column, l2: float | Column) -> Column:

@@ -73,10 +73,13 @@ def ngram_invariants(spark, d):
 def conditional_distribution(spark, d):
     m = trained(spark, d)
     none = F.lit("")
+    tri = ngram.conditional(m.tri, ["w1", "w2"], "p3")
+    bi = ngram.conditional(m.bi, ["w2"], "p2")
+    uni = ngram.conditional(m.uni, [], "p1")
     parts = [
-        m.tri.select(big(F.lit(3)).alias("ord"), "w1", "w2", "w3", r6("p3").alias("p")),
-        m.bi.select(big(F.lit(2)).alias("ord"), none.alias("w1"), "w2", "w3", r6("p2").alias("p")),
-        m.uni.select(big(F.lit(1)).alias("ord"), none.alias("w1"), none.alias("w2"), "w3", r6("p1").alias("p")),
+        tri.select(big(F.lit(3)).alias("ord"), "w1", "w2", "w3", r6("p3").alias("p")),
+        bi.select(big(F.lit(2)).alias("ord"), none.alias("w1"), "w2", "w3", r6("p2").alias("p")),
+        uni.select(big(F.lit(1)).alias("ord"), none.alias("w1"), none.alias("w2"), "w3", r6("p1").alias("p")),
     ]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -190,15 +193,9 @@ def beam_sentences(spark, d):
     rows = seq(spark, d)
     generator = sampling.sampler(ngram.fit(ngram.trigram_counts(rows.where("split = 'train'"))))
     validator = ngram.fit(ngram.trigram_counts(rows))
-    validator = ngram.NGramModel(*[written_model(t, n) for t, n in zip(validator, ("tri", "bi", "uni"))])
     ids = rows.select(F.concat_ws("-", "src_id", "seg").alias("id"))
     trivial = sampling.WordScorer(None, lambda p: F.lit(0.0))
     b = sampling.BeamSettings(L1, L2, 200.0, 3, 3, 3, 7, 4)
     out = sampling.beam_sentences(ids, generator, validator, trivial, b, 9)
     return out.select("id", F.array_join("words", " ").alias("sentence"), "score")
 
-
-def written_model(df, name):
-    from seqlab.session import written
-
-    return written(df, name)

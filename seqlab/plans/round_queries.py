@@ -27,7 +27,6 @@ def context(spark, d, student, language_model=False) -> rounds.Context:
     generator = validator = None
     if language_model:
         validator = ngram.fit(ngram.trigram_counts(sentences))
-        validator = ngram.NGramModel(*[written(t, "lm") for t in validator])
         generator = sampling.sampler(validator)
     nothing = spark.createDataFrame([], "word string, used bigint")
     return rounds.Context(sentences, counts, nothing, generator, validator, student, length=10, lm_length=10,

@@ -15,6 +15,8 @@ def build_session(app: str = "seqlab", cores: str = "*", **conf: str) -> SparkSe
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Joins whose partitions turn out small enough are hashed instead of sorted.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -25,13 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_sentences(text: Column) -> Column:
-    """Sentence strings of a text: cut after ``.``, ``!`` or ``?`` plus blanks, and at newlines."""
-    return F.split(F.regexp_replace(text, "([.!?])[ \t]+", "$1\n"), "\n+")
+    """Sentence strings of a text: cut at blanks after ``.``, ``!`` or ``?`` and at newlines."""
+    return F.split(text, "(?<=[.!?])[ \t]+\n*|\n+")
 
 
 def words_of(sentence: Column) -> Column:
-    spaced = F.regexp_replace(sentence, "([.,!?;:])", " $1 ")
-    return F.array_remove(F.split(spaced, "[ \t\r]+"), "")
+    """Punctuation marks and the runs between blanks and marks, in one pass."""
+    return F.regexp_extract_all(sentence, F.lit("[.,!?;:]|[^ \t\r.,!?;:]+"), F.lit(0))
 
 
 def document_sentences(docs: DataFrame, keep_empty: bool = False, scan: bool = True) -> DataFrame:
@@ -111,10 +111,8 @@ def pack(tokens: DataFrame, **arrays: str) -> DataFrame:
 
 
 def tokens(sentences: DataFrame) -> DataFrame:
-    zipped = F.posexplode(F.arrays_zip("words", "tags")).alias("pos", "t")
-    return sentences.select(*KEY, "split", zipped).select(
-        *KEY, "pos", F.col("t.words").alias("word"), F.col("t.tags").alias("tag"), "split"
-    )
+    each = sentences.select(*KEY, "split", "tags", F.posexplode("words").alias("pos", "word"))
+    return each.select(*KEY, "pos", "word", F.get("tags", F.col("pos")).alias("tag"), "split")
 
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
