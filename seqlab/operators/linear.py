@@ -128,6 +128,7 @@ def greedy_decode(sentences: DataFrame, model: LinearModel, distinct: bool = Tru
             F.min_by(F.struct(*KEY, "split", "words", "tags"), F.struct(*KEY)).alias("s"),
             F.count(F.lit(1)).alias("n"),
         )
+        first = written(first, "contents")
         once = _decode(first.select("s.*"), model)
         found = first.select("_content", "n", F.col("s.src_id").alias("src_id"), F.col("s.seg").alias("seg")).join(
             once.select(*KEY, "preds", "ps"), KEY

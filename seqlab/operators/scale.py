@@ -111,6 +111,12 @@ def text_bucket(column: str) -> Column:
     return F.substring(column, 1, 3)
 
 
+def named_bucket(column: str) -> Column:
+    """As :func:`text_bucket` for ``name=value`` texts, where the names alone are few."""
+    name = F.length(F.substring_index(column, "=", 1))
+    return F.substring(F.col(column), F.lit(1), name + 4)
+
+
 def checked_small(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a small model table for the driver; refuses to fetch more than ``limit``."""
     rows = df.limit(limit + 1).collect()

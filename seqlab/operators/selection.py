@@ -5,12 +5,17 @@ Random order means: sorted by a seeded md5 of the row's ids, so it is the same o
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seqlab.functions.draws import draw_key, hash_bucket
-from seqlab.operators.scale import lookup, number_rows, running_sum
+from seqlab.operators.scale import number_rows, running_sum
+
+SLICES = 256
 
 
 def seeded_shuffle(df: DataFrame, keys: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
@@ -131,9 +136,21 @@ def best_n(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
 
 
 def ranked_by_score(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Add the 0-based ``rank`` by falling score. Slices of the score run in parallel."""
-    slot = -F.floor(F.col(score) * 4096)
-    return number_rows(df, [], [F.desc(score), *keys], slot, "rank")
+    """Add the 0-based ``rank`` by falling score, ids on ties.
+
+    Slices between quantiles run in parallel. A score that very many rows share is a quantile
+    itself: its rows come first in their slice and are cut further by the first id.
+    """
+    flipped = df.withColumn("_x", -F.col(score))
+    cuts = sorted(set(flipped.approxQuantile("_x", [i / SLICES for i in range(SLICES + 1)], 0.25 / SLICES)))
+    edges = [-math.inf, *cuts, math.inf]
+    placed = Bucketizer(splits=edges, inputCol="_x", outputCol="_slice").transform(flipped)
+    edge = F.get(F.array(*[F.lit(e) for e in edges]), F.col("_slice").cast("int"))
+    between = (F.col("_x") != edge).cast("int")
+    part = F.when(between == 0, F.floor(F.col(keys[0]) / 65536)).otherwise(0)
+    bucket = F.struct("_slice", between.alias("between"), part.alias("part"))
+    ranked = number_rows(placed, [], [F.col("_x"), *keys], bucket, "rank")
+    return ranked.drop("_x", "_slice")
 
 
 def usage_scores(words: DataFrame, used: DataFrame, vocab: DataFrame) -> DataFrame:

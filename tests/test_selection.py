@@ -138,6 +138,13 @@ def test_best_n(spark):
     assert selection.best_share(df, "s", ["id"], 4).count() == 2
 
 
+def test_ranks_with_most_scores_equal(spark):
+    rows = [(i, 0.5 if i % 3 else -i / 7.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, s double")
+    got = [(r.id, r["rank"]) for r in selection.ranked_by_score(df, "s", ["id"]).orderBy("rank").collect()]
+    assert got == [(i, k) for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))]
+
+
 def test_filter_and_grid(spark):
     sents = make_sentences(spark, [[("a", "X")], [("a", "X"), ("b", "X")]])
     ok, bad = rounds.split_by_filter(sents, F.size("words") < 2)
