@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlab.operators import hmm, selection, tagging
+from seqlab.operators import hmm, tagging
 from seqlab.plans.fragments import HMM_L1, HMM_L2, MIN_FREQ
 from seqlab.plans.registry import big, query, r6
+from seqlab.session import written
 from seqlab.sources.corpora import pack, seq, seq_tokens
 
 GRID = [(a, b) for a in (0.97, 0.98, 0.99) for b in (0.005, 0.01, 0.015) if a + b < 1]
@@ -125,7 +126,10 @@ def hmm_tune(spark, d):
     rows = seq_tokens(spark, d)
     c = counts(spark, d)
     dev = hmm.tune(rows.where("split = 'dev'"), c, GRID)
+    dev = written(dev, "tuned")
     best = hmm.first_best(dev, "accuracy", ["l1", "l2"]).first()
+    if best is None:  # a corpus too small for a dev split
+        return dev.withColumn("split", F.lit("dev"))
     test = hmm.tune(rows.where("split = 'test'"), c, [(best.l1, best.l2)])
     return dev.withColumn("split", F.lit("dev")).unionByName(test.withColumn("split", F.lit("test")))
 

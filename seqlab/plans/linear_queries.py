@@ -9,7 +9,7 @@ from seqlab.operators import agreement, features, linear, tagging
 from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
 from seqlab.sources import models
-from seqlab.sources.corpora import TOKEN, pack, seq, seq_tokens, table, tok, tokens
+from seqlab.sources.corpora import TOKEN, pack, seq, seq_tokens, table, tok
 
 REG = 0.001
 

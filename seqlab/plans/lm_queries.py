@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from seqlab.functions.draws import uniform
 from seqlab.operators import ngram, sampling
 from seqlab.operators.vocab import vocab_count
-from seqlab.plans.fragments import L1, L2, lm_sql, prob_sql, trigram_sql, uniform_sql
+from seqlab.plans.fragments import L1, L2, prob_sql, uniform_sql
 from seqlab.plans.registry import big, query, r6
-from seqlab.sources.corpora import KEY, TOKEN, pack, seq, seq_tokens, tok, tokens
+from seqlab.sources.corpora import KEY, seq, tok, tokens
 
 GRID = [(a, b) for a in (0.1, 0.2, 0.3, 0.4) for b in (0.4, 0.5, 0.6) if a + b < 1]
 

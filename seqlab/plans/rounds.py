@@ -8,7 +8,6 @@ Only counts, model weights of bounded size and the tag list reach the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlab.functions.draws import uniform
 from seqlab.operators import sampling, selection
 from seqlab.operators.vocab import vocab_count
 from seqlab.plans.fragments import key_sql, uniform_sql
 from seqlab.plans.linear_queries import teacher_student
 from seqlab.plans.lm_queries import _CDF_WORDS
 from seqlab.plans.registry import big, query, r6
-from seqlab.sources.corpora import KEY, pack, seq, seq_tokens, table, tok, tokens
+from seqlab.sources.corpora import KEY, seq, seq_tokens, table, tok, tokens
 
 SEED = 123
 _SEG = "CAST(seg AS BIGINT) AS seg"

@@ -12,12 +12,10 @@ from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
 from seqlab.sources import files
 from seqlab.sources.corpora import (
-    KEY, TOKEN, benchmark_sentences, conversation_tokens, document_sentences, drop_empty, pack, seq, seq_tokens,
+    KEY, benchmark_sentences, conversation_tokens, document_sentences, drop_empty, seq, seq_tokens,
     table, tok, tokens,
 )
 
-TAG_SUMMARY = ["word", "tag", "pos"]
-
 
 def processed(spark: SparkSession, d: str) -> DataFrame:
     rows = tokens(tok(spark, d))
