@@ -46,11 +46,12 @@ def document_sentences(docs: DataFrame, keep_empty: bool = False, scan: bool = T
         F.col("lang"),
         F.posexplode(raw_sentences(F.col("text"))).alias("seg", "line"),
     )
+    if not keep_empty:
+        # The same as an empty word list, told without taking the words out twice.
+        lines = lines.where(F.col("line").rlike("[^ \t\r]"))
     packed = lines.select(
         "src_id", "seg", "split", "lang", words_of(F.col("line")).alias("words")
     )
-    if not keep_empty:
-        packed = drop_empty(packed)
     tags = F.array_repeat(F.col("lang"), F.size("words"))
     return packed.select(*KEY, "split", "words", tags.alias("tags"))
 
