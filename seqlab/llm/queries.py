@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, token_files
+from seqlab.llm import byte_bpe, pii, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN
     )
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [
+        F.size(F.filter(spans, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in pii.BASE
+    ]
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.as_text(pii.base_only(spans)), 256).alias("base_sha256"),
+        pii.as_text(spans).alias("spans"),
+        F.transform(spans, lambda s: s["score"]).alias("scores"),
+    )
