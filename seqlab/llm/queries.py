@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, pii, token_files
+from seqlab.llm import byte_bpe, lz_dedup, pii, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.as_text(spans).alias("spans"),
         F.transform(spans, lambda s: s["score"]).alias("scores"),
     )
+
+
+@query("op6_lz_dedup")
+def op6_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_dedup.digests(lz_dedup.remove(table(spark, sf_dir, "documents")))
