@@ -43,11 +43,12 @@ SEED = 8
 BLOCKS = 4
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, copy, text of the rows with an id: ``copy`` tells rows of one id apart by text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = W.partitionBy("doc_id").orderBy("text")
-    return rows.where("doc_id IS NOT NULL").withColumn("copy", F.row_number().over(order))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    order = W.partitionBy("doc_id").orderBy("text", *more)
+    numbers = rows.where("doc_id IS NOT NULL").withColumn("copy", F.row_number().over(order))
+    return numbers.select("doc_id", "copy", "text", *more)
 
 
 def block_count(docs: DataFrame) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, lz_dedup, pii, token_files
+from seqlab.llm import byte_bpe, line_dedup, lz_dedup, pii, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,48 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lz_dedup")
 def op6_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_dedup.digests(lz_dedup.remove(table(spark, sf_dir, "documents")))
+
+
+OP9_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           unnest(range(len(string_split(text, chr(10))))) AS place
+    FROM documents
+), lines AS (
+    SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM cut
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k
+    FROM lines WHERE body <> ''
+), windows AS (
+    SELECT doc_id, k, body, lead(body) OVER w AS b2, lead(body, 2) OVER w AS b3
+    FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), ranked AS (
+    SELECT doc_id, k,
+           row_number() OVER (PARTITION BY body, b2, b3 ORDER BY doc_id, k) AS nth
+    FROM windows WHERE b3 IS NOT NULL
+), gone AS (
+    SELECT DISTINCT doc_id, k + step AS k
+    FROM ranked, (VALUES (0), (1), (2)) AS steps(step) WHERE nth > 1
+), judged AS (
+    SELECT l.doc_id, l.place, l.line, n.k IS NOT NULL AS counted, g.k IS NOT NULL AS dropped
+    FROM lines l LEFT JOIN numbered n USING (doc_id, place) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.k = n.k
+), kept AS (
+    SELECT doc_id, count(*) FILTER (counted) AS n_lines, count(*) FILTER (dropped) AS n_removed,
+           string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped) AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
