@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, line_dedup, lz_dedup, pii, token_files
+from seqlab.llm import byte_bpe, line_dedup, lz_dedup, pii, quality, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,24 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Fitted on the labels of ``sf_dir`` and the texts of ``docs``, without held-out ids."""
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    return quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+KEEP = 0.3
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"),
+    )
