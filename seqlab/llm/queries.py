@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, line_dedup, lz_dedup, pii, quality, token_files
+from seqlab.llm import byte_bpe, line_dedup, lz_dedup, pii, quality, signature_tree, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= KEEP, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op7_signature_tree")
+def op7_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.similar(table(spark, sf_dir, "documents"), n_words=4, percent=85)
