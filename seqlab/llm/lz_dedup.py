@@ -45,7 +45,10 @@ BLOCKS = 4
 
 def numbered(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, copy, text of the rows with an id: ``copy`` tells rows of one id apart by text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    # No alias where none is needed: plans that read the rows twice then share one shuffle.
+    plain = docs.schema["doc_id"].dataType.typeName() == "long"
+    number = F.col("doc_id") if plain else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(number, "text", *more)
     order = W.partitionBy("doc_id").orderBy("text", *more)
     numbers = rows.where("doc_id IS NOT NULL").withColumn("copy", F.row_number().over(order))
     return numbers.select("doc_id", "copy", "text", *more)
