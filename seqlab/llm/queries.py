@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, grid_join, line_dedup, lz_dedup, pii, quality, signature_tree, token_files
+from seqlab.llm import byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, pii, quality, signature_tree, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,8 @@ def op7_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_grid_join")
 def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op8_cover_tree")
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
