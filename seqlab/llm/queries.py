@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, pii, quality, signature_tree, token_files
+from seqlab.llm import byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, mixing, pii, quality, signature_tree, token_files
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,84 @@ def op5_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cover_tree")
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}
+
+
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of the documents that ``labels`` calls good and clean."""
+    good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+
+
+def _op2_sql() -> str:
+    names = list(TARGETS)
+    n = range(len(names))
+    total = " + ".join(f"p{k}" for k in n)
+    steps = []
+    for step in range(mixing.STEPS):
+        before = "start" if step == 0 else f"step{step - 1}"
+        sums = ", ".join(f"coalesce(sum(rate * tokens * (p{k} / ({total}))), 0) AS y{k}" for k in n)
+        move = " + ".join(
+            f"(p{k} / ({total})) * CASE WHEN a{k} = 0 THEN 0 ELSE (y{k} - {w / sum(TARGETS.values())!r} * whole) / a{k} END"
+            for k, w in enumerate(TARGETS.values())
+        )
+        steps.append(
+            f"now{step} AS MATERIALIZED (SELECT {sums} FROM {before}), step{step} AS MATERIALIZED "
+            f"(SELECT s.* EXCLUDE (rate), greatest(0.0, rate - ({move})) AS rate FROM {before} s, now{step}, ones)"
+        )
+    return f"""
+WITH sample AS (
+    SELECT doc_id, min(lang) AS domain FROM documents
+    WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)
+      AND lang IN ({", ".join(f"'{d}'" for d in names)})
+    GROUP BY doc_id ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {mixing.LABELLED}
+), cut AS (
+    SELECT doc_id, unnest(string_split_regex(text, '[\\x20\\x09-\\x0D]+')) AS w FROM documents
+), words AS (
+    SELECT doc_id, (ascii(substr(w, 1, 1)) * 961 + ascii(substr(w, 2, 1)) * 31
+           + ascii(substr(w, 3, 1)) + length(w) * 7) % {mixing.BUCKETS} AS bucket
+    FROM cut WHERE w <> ''
+), counts AS (
+    SELECT bucket, {", ".join(f"count(*) FILTER (domain = '{d}') AS c{k}" for k, d in enumerate(names))}
+    FROM words JOIN sample USING (doc_id) GROUP BY bucket
+), totals AS (
+    SELECT {", ".join(f"coalesce(sum(c{k}), 0) AS t{k}" for k in n)} FROM counts
+), model AS (
+    SELECT b.range AS bucket, {", ".join(
+        f"round(ln((coalesce(c{k}, 0) + 1.0)::DOUBLE / (t{k} + {mixing.BUCKETS})::DOUBLE) * 1000000)::BIGINT AS l{k}" for k in n)}
+    FROM range({mixing.BUCKETS}) b LEFT JOIN counts ON counts.bucket = b.range CROSS JOIN totals
+), prior AS (
+    SELECT {", ".join(
+        f"round(ln((count(*) FILTER (domain = '{d}') + 1)::DOUBLE / (count(*) + {len(names)})::DOUBLE) * 1000000)::BIGINT AS r{k}"
+        for k, d in enumerate(names))}
+    FROM sample
+), spoken AS (
+    SELECT doc_id, count(*) AS n_tokens, {", ".join(f"sum(l{k})::BIGINT AS s{k}" for k in n)}
+    FROM words JOIN model USING (bucket) GROUP BY doc_id
+), logs AS (
+    SELECT d.doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, {", ".join(
+        f"(coalesce(s{k}, 0)::DOUBLE * least(1.0::DOUBLE, {float(mixing.EVIDENCE)}::DOUBLE / greatest(coalesce(n_tokens, 0), 1)) + r{k}) / 1000000 AS g{k}" for k in n)}
+    FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN spoken USING (doc_id) CROSS JOIN prior
+), odds AS (
+    SELECT doc_id, n_tokens, {", ".join(f"exp(g{k} - greatest({', '.join(f'g{j}' for j in n)})) AS e{k}" for k in n)} FROM logs
+), members AS (
+    SELECT doc_id, n_tokens, {", ".join(f"round(e{k} / ({' + '.join(f'e{j}' for j in n)}) * 1000)::BIGINT AS p{k}" for k in n)} FROM odds
+), start AS MATERIALIZED (
+    SELECT {", ".join(f"p{k}" for k in n)}, sum(n_tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS rate FROM members GROUP BY ALL
+), sums AS (
+    SELECT {", ".join(f"coalesce(sum(tokens * (p{k} / ({total}))), 0) AS a{k}" for k in n)} FROM start
+), ones AS MATERIALIZED (SELECT *, {" + ".join(f"a{k}" for k in n)} AS whole FROM sums),
+{", ".join(steps)}
+SELECT doc_id, n_tokens, {", ".join(f"m.p{k} AS p_{d}" for k, d in enumerate(names))}, round(rate, 5) + 0.0 AS rate
+FROM members m JOIN step{mixing.STEPS - 1} s ON {" AND ".join(f"m.p{k} = s.p{k}" for k in n)}
+"""
+
+
+@query("op2_mixing", _op2_sql())
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
+    rates = mixing.mix(docs, labelled, TARGETS)
+    return rates.withColumn("rate", F.round("rate", 5) + F.lit(0.0))
