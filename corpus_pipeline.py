@@ -1,21 +1,67 @@
-"""The corpus pipeline over `documents`: stages in order, each a function of one operator."""
+"""The corpus pipeline over `documents`: stages in order, each a function of one operator.
+
+Every stage works on all rows that the one before it kept, and all but the last return the columns
+of `documents`. `n_chars` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe
+from seqlab.llm import byte_bpe, line_dedup, mixing, quality, signature_tree
+from seqlab.llm.queries import KEEP, TARGETS, labelled_languages, quality_model, table
 from seqlab.session import written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents whose quality score is below ``KEEP`` go."""
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir), "quality_score")
+    return scored.where(F.col("quality_score") >= KEEP).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: later occurrences of repeated three-line windows are cut from the texts."""
+    cut = line_dedup.dedup(docs)
+    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each component of near duplicates the document that names it stays.
+
+    Of several rows of that document the first in the order of texts stays; rows without an id
+    are in no group and stay.
+    """
+    found = signature_tree.similar(docs, n_words=5, percent=80)
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi")
+    first = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+    return kept.union(docs.where("doc_id IS NULL"))
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: rows are left out or repeated by the rate that brings languages to ``TARGETS``."""
+    labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
+    return mixing.apply_rates(docs, mixing.mix(docs, labelled, TARGETS))
+
+
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every text, and the digest of what they decode to."""
+    """Operator 4: byte-level BPE ids of every text, and the digest of what they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE encoding and decoding", encode_and_decode)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing sources to target weights", mix_languages),
+    ("byte-level BPE encoding and decoding", encode_and_decode),
+]
 
 #: The classifier and the encoder have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -23,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
