@@ -8,6 +8,7 @@ slot) and meets about two intervals, so no draw is compared with a whole distrib
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -194,7 +195,7 @@ class BeamSettings(NamedTuple):
     tries: int
     min_length: int
     max_length: int
-    attempts: int = 5
+    patience: int = 25
 
 
 def beam_sentences(
@@ -204,22 +205,24 @@ def beam_sentences(
 
     Prefixes whose perplexity under the validating model is too high are dropped once they
     are longer than three words; a stop ends a candidate longer than the minimum; the best
-    mean score wins. Ids without a sentence are tried again with new draws, and stay with
-    null ``words`` after the last attempt. A group holds ``beam * tries`` rows at most.
+    mean score wins. Ids without a sentence are tried again with new draws until each has one;
+    when none of those left finds any in ``patience`` passes running, the validating model is
+    taken to refuse them all and the search ends with an error. A group holds
+    ``beam * tries`` rows at most.
     """
-    pending, found = ids.select("id"), []
-    for attempt in range(b.attempts):
+    pending, found, left, idle = ids.select("id"), [], None, 0
+    for attempt in count():
         options = _beam_pass(pending, generator, validator, scorer, b, f"{seed}.{attempt}")
         best = F.max_by("words", F.struct("score", F.array_join("words", " "))).alias("words")
         chosen = written(options.groupBy("id").agg(best, F.max("score").alias("score")), "options")
         found.append(chosen)
         pending = written(pending.join(chosen, "id", "left_anti"), "pending")
-        if pending.isEmpty():
-            break
-    missing = pending.select(
-        "id", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("double").alias("score")
-    )
-    return union_all([*found, missing])
+        before, left = left, pending.count()
+        if not left:
+            return union_all(found)
+        idle = idle + 1 if left == before else 0
+        if idle == b.patience:
+            raise ValueError(f"{left} sentences could not be found below perplexity {b.max_perplexity}")
 
 
 def _beam_pass(ids, generator, validator, scorer, b: BeamSettings, seed: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from seqlab.functions.text import FLAG_NAMES, PREFIXES, SHAPES_FIRST, SHAPES_LAST, SUFFIXES
-from seqlab.sources.corpora import MAX_SEQUENCE
 
 MIN_FREQ = 2
 TOP_N = 2000
@@ -161,15 +160,14 @@ FRAGMENTS: dict[str, str] = {
     "bench_sent": "SELECT * FROM (" + sentences_sql("item_id", "'benchmark'", "benchmark") + ") WHERE len(words) > 0",
     "tok": "SELECT src_id, seg, split, tag, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM tok_sent",
     "seq": (
-        f"SELECT src_id, CAST(n // {MAX_SEQUENCE} AS INTEGER) AS seg, CAST(n % {MAX_SEQUENCE} AS INTEGER) AS pos, word, tag, "
-        f"{split_sql('src_id')} AS split FROM (SELECT user_id AS src_id, json_extract_string(props, '$.k') AS word, "
-        "event_type AS tag, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)"
+        f"SELECT *, {split_sql('src_id')} AS split FROM (SELECT user_id AS src_id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INTEGER) AS seg, "
+        "CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, "
+        "json_extract_string(props, '$.k') AS word, event_type AS tag FROM events)"
     ),
     "conv": (
-        f"SELECT src_id, CAST(n // {MAX_SEQUENCE} AS INTEGER) AS seg, CAST(n % {MAX_SEQUENCE} AS INTEGER) AS pos, tag, "
-        f"coalesce(list_filter(regexp_split_to_array(regexp_replace(text, '([.,!?;:])', ' \\1 ', 'g'), '[ \\t\\r]+'), lambda w: w <> '')[1], '') AS word, "
-        f"{split_sql('src_id')} AS split FROM (SELECT conv_id AS src_id, text, role AS tag, "
-        "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)"
+        f"SELECT src_id, seg, tag, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, {split_sql('src_id')} AS split FROM ("
+        "SELECT conv_id AS src_id, turn AS seg, role AS tag, list_filter(regexp_split_to_array(regexp_replace(text, '([.,!?;:])', ' \\1 ', 'g'), "
+        "'[ \\t\\r\\n]+'), lambda w: w <> '') AS words FROM conversations)"
     ),
     "tok_vocab": "SELECT word, count(*) AS total, count(*) FILTER (split = 'train') AS n FROM tok GROUP BY word",
     "tok_norm": (
@@ -202,8 +200,9 @@ FRAGMENTS: dict[str, str] = {
     "tok_probs": (
         "SELECT g.*, t.n AS n3, b.n AS n2, u.n AS n1, t.p3, b.p2, u.p1 FROM tok_grams g "
         "LEFT JOIN tok_tri t ON t.w1 = g.w1 AND t.w2 = g.w2 AND t.w3 = g.w3 "
-        "LEFT JOIN tok_bi b ON b.w2 = g.w2 AND b.w3 = g.w3 LEFT JOIN tok_uni u ON u.w3 = g.w3 WHERE g.split = 'dev'"
+        "LEFT JOIN tok_bi b ON b.w2 = g.w2 AND b.w3 = g.w3 LEFT JOIN tok_uni u ON u.w3 = g.w3"
     ),
+    "tok_dev": "SELECT * FROM tok_probs WHERE split = 'dev'",
     "seq_grams": trigram_sql("seq"),
     "seq_tri": _seq_lm["tri"],
     "seq_bi": _seq_lm["bi"],
@@ -240,6 +239,10 @@ FRAGMENTS: dict[str, str] = {
     "eval_feats": "SELECT * FROM seq_feats WHERE split <> 'train'",
     "teacher_z": score_sql("eval_feats", "teacher_w", "teacher_b"),
     "student_z": score_sql("eval_feats", "student_w", "student_b"),
+    "student_all": score_sql("seq_feats", "student_w", "student_b"),
+    "teacher_all": score_sql("seq_feats", "teacher_w", "teacher_b"),
+    "student_pa": softmax_sql("student_all", "src_id, seg, pos"),
+    "teacher_pa": softmax_sql("teacher_all", "src_id, seg, pos"),
     "teacher_p": softmax_sql("teacher_z", "src_id, seg, pos"),
     "student_p": softmax_sql("student_z", "src_id, seg, pos"),
     "seq_norm": (
@@ -258,7 +261,11 @@ FRAGMENTS: dict[str, str] = {
         f"ELSE {class_sql('t.word', False, '')} END AS word FROM seq t LEFT JOIN seq_top k ON k.word = t.word "
         f"LEFT JOIN seq_top l ON l.word = {lower_sql('t.word')}"
     ),
-    "bench_tok": "SELECT src_id, seg, unnest(words) AS word FROM bench_sent",
+    "bench_tok": (
+        "SELECT src_id, seg, split, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, '' AS tag FROM bench_sent"
+    ),
+    "bench_ctx": context_sql("bench_tok"),
+    "bench_feats": features_sql("bench_ctx"),
     "seq_pre_ctx": context_sql("seq_pre"),
     "seq_pre_feats": features_sql("seq_pre_ctx"),
     "flag_names": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FLAG_NAMES) + "]) AS feature",

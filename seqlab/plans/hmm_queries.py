@@ -92,10 +92,10 @@ _VITERBI = f"""RECURSIVE WITH q AS (SELECT x.t AS t1, y.t AS t2, z.t AS t3,
   LEFT JOIN hmm_bi d ON d.t2 = x.t AND d.t3 = y.t LEFT JOIN hmm_tri a ON a.t1 = x.t AND a.t2 = y.t AND a.t3 = z.t),
 seen AS (SELECT DISTINCT word FROM hmm_emit),
 em AS (SELECT w.src_id, w.seg, w.pos, t.tag AS t3, ln(CASE WHEN s.word IS NULL THEN t.n / (SELECT sum(n) FROM hmm_tag) ELSE e.n / t.n END) AS le
-  FROM (SELECT * FROM seq WHERE split <> 'train') w CROSS JOIN hmm_tag t LEFT JOIN seen s ON s.word = w.word
+  FROM seq w CROSS JOIN hmm_tag t LEFT JOIN seen s ON s.word = w.word
   LEFT JOIN hmm_emit e ON e.word = w.word AND e.tag = t.tag WHERE s.word IS NULL OR e.n IS NOT NULL),
 v AS (SELECT src_id, seg, -1 AS pos, '<START>' AS t2, '<START>' AS t3, CAST(0.0 AS DOUBLE) AS score, CAST([] AS VARCHAR[]) AS path
-  FROM (SELECT DISTINCT src_id, seg FROM seq WHERE split <> 'train')
+  FROM (SELECT DISTINCT src_id, seg FROM seq)
   UNION ALL
   SELECT v.src_id, v.seg, em.pos, v.t3, em.t3, max(v.score + q.lq + em.le), arg_max(list_append(v.path, em.t3), v.score + q.lq + em.le)
   FROM v JOIN em ON em.src_id = v.src_id AND em.seg = v.seg AND em.pos = v.pos + 1 JOIN q ON q.t1 = v.t2 AND q.t2 = v.t3 AND q.t3 = em.t3
@@ -108,7 +108,7 @@ SELECT src_id, CAST(seg AS BIGINT) AS seg, round(score, 6) AS score, array_to_st
 
 def decoded(spark, d, grid):
     rows = seq_tokens(spark, d)
-    return hmm.viterbi(rows.where("split <> 'train'"), counts(spark, d), grid)
+    return hmm.viterbi(rows, counts(spark, d), grid)
 
 
 @query("viterbi_decode", _VITERBI)
@@ -128,23 +128,12 @@ def hmm_tune(spark, d):
     dev = hmm.tune(rows.where("split = 'dev'"), c, GRID)
     dev = written(dev, "tuned")
     best = hmm.first_best(dev, "accuracy", ["l1", "l2"]).first()
-    if best is None:  # a corpus too small for a dev split
-        return dev.withColumn("split", F.lit("dev"))
+    if best is None:
+        raise ValueError("no dev sequences to tune on")
     test = hmm.tune(rows.where("split = 'test'"), c, [(best.l1, best.l2)])
     return dev.withColumn("split", F.lit("dev")).unionByName(test.withColumn("split", F.lit("test")))
 
 
-@query(
-    "best_params",
-    "SELECT word, tag, n FROM (SELECT word, tag, n, row_number() OVER (PARTITION BY tag ORDER BY n DESC, word) AS k FROM hmm_emit) WHERE k = 1",
-)
-def best_params(spark, d):
-    """First best of a scored grid, here the commonest word of each tag."""
-    emit = counts(spark, d).emit
-    best = F.min_by(F.struct("word", "n"), F.struct(-F.col("n"), F.col("word"))).alias("b")
-    return emit.groupBy("tag").agg(best).select("b.word", "tag", "b.n")
-
-
 @query(
     "param_grid",
     "SELECT split, l1, l2, count(*) AS n_sentences FROM (SELECT DISTINCT src_id, seg, split FROM seq), (VALUES "

@@ -28,11 +28,16 @@ def in_half():
 
 def teacher_student(spark, d):
     """Two count-weight models, on all and on half of the training sequences, and the held-out rows."""
+    teacher, student, rows = all_rows(spark, d)
+    return teacher, student, rows.where("split <> 'train'")
+
+
+def all_rows(spark, d):
+    """The teacher, the student and the rows of every sequence."""
     rows = seq_examples(spark, d)
     tags = tagging.tag_list(rows)
     train = rows.where("split = 'train'")
-    teacher, student = linear.count_weights(train, tags), linear.count_weights(train.where(in_half()), tags)
-    return teacher, student, rows.where("split <> 'train'")
+    return linear.count_weights(train, tags), linear.count_weights(train.where(in_half()), tags), rows
 
 
 def pairs(spark, d):
@@ -150,17 +155,17 @@ def smooth_labels(spark, d):
     return long_cells(rows, "h", "vec_id").withColumn("v", r6("v"))
 
 
-@query("to_sparse", "SELECT vec_id, class_id, round(z, 6) AS v FROM emb WHERE z > 0.1")
+@query("to_sparse", "SELECT vec_id, class_id, round(z, 6) AS v FROM emb WHERE z <> 0")
 def to_sparse(spark, d):
-    """Non-zero cells of the embedding rows, small values taken as zero."""
+    """Non-zero cells of the embedding rows."""
     emb = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("class_id", "v"))
-    return emb.where("v > 0.1").select("vec_id", big("class_id").alias("class_id"), r6("v").alias("v"))
+    return emb.where("v <> 0").select("vec_id", big("class_id").alias("class_id"), r6("v").alias("v"))
 
 
-@query("active_indices", "SELECT vec_id, string_agg(CAST(class_id AS VARCHAR), ' ' ORDER BY class_id) AS indices FROM emb WHERE z > 0.1 GROUP BY vec_id")
+@query("active_indices", "SELECT vec_id, string_agg(CAST(class_id AS VARCHAR), ' ' ORDER BY class_id) AS indices FROM emb WHERE z <> 0 GROUP BY vec_id")
 def active_indices(spark, d):
     emb = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    marked = F.transform("e", lambda x, i: F.when(x > 0.1, i.cast("string")))
+    marked = F.transform("e", lambda x, i: F.when(x != 0, i.cast("string")))
     return emb.select("vec_id", F.array_compact(marked).alias("i")).where(F.size("i") > 0).select("vec_id", F.array_join("i", " ").alias("indices"))
 
 
@@ -189,10 +194,10 @@ def top_k_values(spark, d):
 # Scores and models
 
 
-@query("score_linear", "SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, CAST(class_id AS BIGINT) AS class_id, round(p, 6) AS p FROM teacher_p")
+@query("score_linear", "SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, CAST(class_id AS BIGINT) AS class_id, round(p, 6) AS p FROM teacher_pa")
 def score_linear(spark, d):
-    teacher, _, held = teacher_student(spark, d)
-    probs = linear.long_probs(linear.predict_proba(held, teacher), *TOKEN)
+    teacher, _, rows = all_rows(spark, d)
+    probs = linear.long_probs(linear.predict_proba(rows, teacher), *TOKEN)
     return probs.select(*token_key(), big("class_id").alias("class_id"), r6("p").alias("p"))
 
 
@@ -303,16 +308,16 @@ def confusion(spark, d):
 
 
 def sentence_scores(spark, d, name):
-    _, student, held = teacher_student(spark, d)
+    _, student, rows = all_rows(spark, d)
     score = vectors.SCORES[name]
-    probs = linear.predict_proba(held, student)
+    probs = linear.predict_proba(rows, student)
     return probs.groupBy("src_id", big("seg").alias("seg")).agg(r6(F.avg(score(F.col("p")))).alias("score"))
 
 
 _SCORE = "SELECT src_id, CAST(seg AS BIGINT) AS seg, round(avg(s), 6) AS score FROM ({0}) GROUP BY 1, 2"
 
 
-@query("score_entropy", _SCORE.format("SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_p GROUP BY 1, 2, 3"))
+@query("score_entropy", _SCORE.format("SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_pa GROUP BY 1, 2, 3"))
 def score_entropy(spark, d):
     return sentence_scores(spark, d, "entropy")
 
@@ -320,55 +325,72 @@ def score_entropy(spark, d):
 @query(
     "score_margin",
     _SCORE.format(
-        "SELECT src_id, seg, pos, sum(CASE k WHEN 1 THEN -p ELSE p END) AS s FROM (SELECT *, row_number() OVER (PARTITION BY src_id, seg, pos ORDER BY p DESC) AS k FROM student_p) WHERE k <= 2 GROUP BY 1, 2, 3"
+        "SELECT src_id, seg, pos, sum(CASE k WHEN 1 THEN -p ELSE p END) AS s FROM (SELECT *, row_number() OVER (PARTITION BY src_id, seg, pos ORDER BY p DESC) AS k FROM student_pa) WHERE k <= 2 GROUP BY 1, 2, 3"
     ),
 )
 def score_margin(spark, d):
     return sentence_scores(spark, d, "margin")
 
 
-@query("score_gradient", _SCORE.format("SELECT src_id, seg, pos, -sum(p * p) AS s FROM student_p GROUP BY 1, 2, 3"))
+@query("score_gradient", _SCORE.format("SELECT src_id, seg, pos, -sum(p * p) AS s FROM student_pa GROUP BY 1, 2, 3"))
 def score_gradient(spark, d):
     return sentence_scores(spark, d, "gradient")
 
 
-@query("score_constant", _SCORE.format("SELECT src_id, seg, pos, 0.0::DOUBLE AS s FROM student_p GROUP BY 1, 2, 3"))
+@query("score_constant", _SCORE.format("SELECT src_id, seg, pos, 0.0::DOUBLE AS s FROM student_pa GROUP BY 1, 2, 3"))
 def score_constant(spark, d):
     return sentence_scores(spark, d, "constant")
 
 
-_WALK = """RECURSIVE WITH sent AS (SELECT * FROM seq_ctx WHERE split <> 'train'),
-stat AS (SELECT * FROM eval_feats WHERE NOT starts_with(feature, 'prev_tag=') AND NOT starts_with(feature, 'prevprev_tag=') AND NOT starts_with(feature, 'tag_bigram=')),
-sw AS (SELECT f.src_id, f.seg, f.pos, w.class_id, sum(w.w) AS w FROM stat f JOIN student_w w USING (feature) GROUP BY ALL),
-sz AS (SELECT k.src_id, k.seg, k.pos, b.class_id, t.tag, b.b + coalesce(sw.w, 0) AS z FROM sent k CROSS JOIN student_b b JOIN seq_tags t USING (class_id)
+def walk_sql(contexts: str, feats: str, model: str) -> str:
+    """Greedy decoding with the model's own tags as history: ``g`` has each token's two tags, the
+    best score and the sum over the classes; ``zs`` the score of every class."""
+    history = ("prev_tag=", "prevprev_tag=", "tag_bigram=")
+    own = " OR ".join(f"starts_with(feature, '{h}')" for h in history)
+    z = "s.z + coalesce(a.w, 0) + coalesce(b.w, 0) + coalesce(c.w, 0)"
+    joins = """LEFT JOIN h a ON a.feature = 'prev_tag=' || g.t1 AND a.class_id = s.class_id
+  LEFT JOIN h b ON b.feature = 'prevprev_tag=' || g.t2 AND b.class_id = s.class_id
+  LEFT JOIN h c ON c.feature = 'tag_bigram=' || g.t1 || ' ' || g.t2 AND c.class_id = s.class_id"""
+    return f"""RECURSIVE WITH stat AS (SELECT * FROM {feats} WHERE NOT ({own})),
+sw AS (SELECT f.src_id, f.seg, f.pos, w.class_id, sum(w.w) AS w FROM stat f JOIN {model}_w w USING (feature) GROUP BY ALL),
+sz AS (SELECT k.src_id, k.seg, k.pos, k.word, b.class_id, t.tag, b.b + coalesce(sw.w, 0) AS z FROM {contexts} k CROSS JOIN {model}_b b JOIN seq_tags t USING (class_id)
   LEFT JOIN sw ON sw.src_id = k.src_id AND sw.seg = k.seg AND sw.pos = k.pos AND sw.class_id = b.class_id),
-h AS (SELECT feature, class_id, w FROM student_w WHERE starts_with(feature, 'prev_tag=') OR starts_with(feature, 'prevprev_tag=') OR starts_with(feature, 'tag_bigram=')),
-g AS (SELECT src_id, seg, -1 AS pos, '*' AS t1, '*' AS t2, CAST(NULL AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT src_id, seg FROM sent)
+h AS (SELECT feature, class_id, w FROM {model}_w WHERE {own}),
+g AS (SELECT src_id, seg, -1 AS pos, '*' AS t1, '*' AS t2, CAST(NULL AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT src_id, seg FROM {contexts})
   UNION ALL
-  SELECT g.src_id, g.seg, s.pos, arg_max(s.tag, s.z + coalesce(a.w, 0) + coalesce(b.w, 0) + coalesce(c.w, 0)), g.t1,
-    max(s.z + coalesce(a.w, 0) + coalesce(b.w, 0) + coalesce(c.w, 0)), sum(exp(s.z + coalesce(a.w, 0) + coalesce(b.w, 0) + coalesce(c.w, 0)))
+  SELECT g.src_id, g.seg, s.pos, arg_max(s.tag, {z}), g.t1, max({z}), sum(exp({z}))
   FROM g JOIN sz s ON s.src_id = g.src_id AND s.seg = g.seg AND s.pos = g.pos + 1
-  LEFT JOIN h a ON a.feature = 'prev_tag=' || g.t1 AND a.class_id = s.class_id
-  LEFT JOIN h b ON b.feature = 'prevprev_tag=' || g.t2 AND b.class_id = s.class_id
-  LEFT JOIN h c ON c.feature = 'tag_bigram=' || g.t1 || ' ' || g.t2 AND c.class_id = s.class_id
-  GROUP BY g.src_id, g.seg, s.pos, g.t1)
-SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, t1 AS pred, round(exp(z) / total, 6) AS p_best FROM g WHERE pos >= 0"""
+  {joins}
+  GROUP BY g.src_id, g.seg, s.pos, g.t1),
+zs AS (SELECT s.src_id, s.seg, s.pos, s.word, s.class_id, g.t1 AS prev_tag, g.t2 AS prevprev_tag, {z} AS z FROM g
+  JOIN sz s ON s.src_id = g.src_id AND s.seg = g.seg AND s.pos = g.pos + 1
+  {joins})"""
 
 
-@query("greedy_decode", _WALK)
+_WALK = walk_sql("seq_ctx", "seq_feats", "student")
+
+
+@query(
+    "greedy_decode",
+    _WALK + " SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, t1 AS pred, round(exp(z) / total, 6) AS p_best FROM g WHERE pos >= 0",
+)
 def greedy_decode(spark, d):
-    _, student, held = teacher_student(spark, d)
-    sentences = seq(spark, d).where("split <> 'train'")
-    rows = linear.greedy_decode(sentences, student)
+    _, student, _ = all_rows(spark, d)
+    rows = linear.greedy_decode(seq(spark, d), student)
     return rows.select(*token_key(), "pred", r6(F.array_max("p")).alias("p_best"))
 
 
-@query("score_prefix_tags")
+@query(
+    "score_prefix_tags",
+    _WALK + " SELECT zs.src_id, CAST(zs.seg AS BIGINT) AS seg, CAST(zs.pos AS BIGINT) AS pos, prev_tag, prevprev_tag, CAST(class_id AS BIGINT) AS class_id, "
+    "round(exp(zs.z) / g.total, 6) AS p FROM zs JOIN g ON g.src_id = zs.src_id AND g.seg = zs.seg AND g.pos = zs.pos",
+)
 def score_prefix_tags(spark, d):
     """Probability rows given the tags the student itself put before each position."""
-    _, student, _ = teacher_student(spark, d)
-    rows = linear.greedy_decode(seq(spark, d).where("split <> 'train'"), student)
-    return rows.select(*token_key(), "prev_tag", "prevprev_tag", F.posexplode("p").alias("class_id", "p")).withColumn("p", r6("p"))
+    _, student, _ = all_rows(spark, d)
+    rows = linear.greedy_decode(seq(spark, d), student)
+    long = rows.select(*token_key(), "prev_tag", "prevprev_tag", F.posexplode("p").alias("class_id", "p"))
+    return long.withColumn("class_id", big("class_id")).withColumn("p", r6("p"))
 
 
 # Training

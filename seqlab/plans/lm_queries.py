@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlab.functions.draws import uniform
-from seqlab.operators import ngram, sampling
+from seqlab.operators import hmm, ngram, sampling
 from seqlab.operators.vocab import vocab_count
 from seqlab.plans.fragments import L1, L2, prob_sql, uniform_sql
 from seqlab.plans.registry import big, query, r6
@@ -89,7 +89,7 @@ def conditional_distribution(spark, d):
     "SELECT w1, w2, w3, count(*) AS m, max(coalesce(n3, 0)) AS n3, max(coalesce(n2, 0)) AS n2, max(coalesce(n1, 0)) AS n1 FROM tok_probs GROUP BY w1, w2, w3",
 )
 def backoff_lookup(spark, d):
-    probs = ngram.distinct_probs(tok(spark, d).where("split = 'dev'"), trained(spark, d))
+    probs = ngram.distinct_probs(tok(spark, d), trained(spark, d))
     return probs.select("w1", "w2", "w3", "m", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n3", "n2", "n1")])
 
 
@@ -98,7 +98,7 @@ def backoff_lookup(spark, d):
     f"SELECT w1, w2, w3, count(*) AS m, round(max({prob_sql()}), 6) AS p FROM tok_probs GROUP BY w1, w2, w3",
 )
 def interpolated_prob(spark, d):
-    probs = ngram.distinct_probs(tok(spark, d).where("split = 'dev'"), trained(spark, d))
+    probs = ngram.distinct_probs(tok(spark, d), trained(spark, d))
     return probs.select("w1", "w2", "w3", "m", r6(ngram.interpolate(L1, L2)).alias("p"))
 
 
@@ -107,7 +107,7 @@ def interpolated_prob(spark, d):
     f"SELECT src_id, CAST(seg AS BIGINT) AS seg, round(sum(log2({prob_sql()})), 6) AS log2_likelihood, count(*) FILTER (p1 IS NULL) AS n_unseen FROM tok_probs GROUP BY 1, 2",
 )
 def sentence_loglik(spark, d):
-    rows = ngram.sentence_loglik(tok(spark, d).where("split = 'dev'"), trained(spark, d), L1, L2)
+    rows = ngram.sentence_loglik(tok(spark, d), trained(spark, d), L1, L2)
     return rows.select("src_id", big("seg").alias("seg"), r6("log2_likelihood").alias("log2_likelihood"), "n_unseen")
 
 
@@ -129,7 +129,7 @@ def _rounded(rows):
     )
 
 
-@query("perplexity", _perplexity_sql("tok_probs", [(L1, L2)]))
+@query("perplexity", _perplexity_sql("tok_dev", [(L1, L2)]))
 def perplexity(spark, d):
     probs = ngram.distinct_probs(tok(spark, d).where("split = 'dev'"), trained(spark, d))
     return _rounded(ngram.perplexity(probs, [(L1, L2)]))
@@ -142,12 +142,23 @@ def perplexity_events(spark, d):
     return _rounded(ngram.perplexity(ngram.distinct_probs(rows.where("split = 'dev'"), model), [(L1, L2)]))
 
 
-@query("lm_tune", _perplexity_sql("tok_probs", GRID))
+@query("lm_tune", _perplexity_sql("tok_dev", GRID))
 def lm_tune(spark, d):
     probs = ngram.distinct_probs(tok(spark, d).where("split = 'dev'"), trained(spark, d))
     return _rounded(ngram.perplexity(probs, GRID))
 
 
+@query(
+    "best_params",
+    f"SELECT l1, l2, perplexity FROM ({_perplexity_sql('tok_dev', GRID)}) ORDER BY perplexity, l1, l2 LIMIT 1",
+)
+def best_params(spark, d):
+    """The first best pair of the tuning grid."""
+    probs = ngram.distinct_probs(tok(spark, d).where("split = 'dev'"), trained(spark, d))
+    tried = _rounded(ngram.perplexity(probs, GRID)).withColumn("better", -F.col("perplexity"))
+    return hmm.first_best(tried, "better", ["l1", "l2"]).select("l1", "l2", "perplexity")
+
+
 @query(
     "cdf",
     "SELECT w2, w3, n, round((sum(n) OVER (PARTITION BY w2 ORDER BY w3) - n) / sum(n) OVER (PARTITION BY w2), 6) AS lo, "
@@ -195,7 +206,7 @@ def beam_sentences(spark, d):
     validator = ngram.fit(ngram.trigram_counts(rows))
     ids = rows.select(F.concat_ws("-", "src_id", "seg").alias("id"))
     trivial = sampling.WordScorer(None, lambda p: F.lit(0.0))
-    b = sampling.BeamSettings(L1, L2, 200.0, 3, 3, 3, 7, 4)
+    b = sampling.BeamSettings(L1, L2, 200.0, 3, 3, 3, 7)
     out = sampling.beam_sentences(ids, generator, validator, trivial, b, 9)
     return out.select("id", F.array_join("words", " ").alias("sentence"), "score")
 

@@ -8,7 +8,7 @@ from seqlab.operators import ngram, sampling, tagging
 from seqlab.operators.vocab import vocab_count
 from seqlab.plans import rounds
 from seqlab.plans.fragments import MIN_FREQ
-from seqlab.plans.linear_queries import seq_examples, teacher_student
+from seqlab.plans.linear_queries import all_rows, seq_examples, teacher_student, walk_sql
 from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
 from seqlab.sources.corpora import document_sentences, pack, seq, seq_tokens, tokens
@@ -30,32 +30,33 @@ def context(spark, d, student, language_model=False) -> rounds.Context:
         generator = sampling.sampler(validator)
     nothing = spark.createDataFrame([], "word string, used bigint")
     return rounds.Context(sentences, counts, nothing, generator, validator, student, length=10, lm_length=10,
-                          beam=sampling.BeamSettings(0.4, 0.55, 200.0, 3, 3, 2, 5, 3))
+                          beam=sampling.BeamSettings(0.4, 0.55, 200.0, 3, 3, 2, 5))
 
 
 @query(
     "label_batch",
-    "SELECT src_id, CAST(seg AS BIGINT) AS seg, count(*) AS n FROM seq WHERE split <> 'train' GROUP BY 1, 2",
+    walk_sql("seq_ctx", "seq_feats", "teacher") + " SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, t1 AS tag, "
+    "round(exp(z) / total, 6) AS p_best FROM g WHERE pos >= 0",
 )
 def label_batch(spark, d):
-    """Training rows for the held-out sequences, one per token."""
-    teacher, _, _ = teacher_student(spark, d)
-    rows = rounds.label_batch(seq(spark, d).where("split <> 'train'"), saved(teacher))
-    return rows.groupBy("src_id", big("seg").alias("seg")).agg(F.count(F.lit(1)).alias("n"))
+    """Training rows for all sequences: the tag and the probability that the teacher gives."""
+    teacher, _, _ = all_rows(spark, d)
+    rows = rounds.label_batch(seq(spark, d), saved(teacher))
+    return rows.select("src_id", big("seg").alias("seg"), big("pos").alias("pos"), "tag", r6(F.array_max("p")).alias("p_best"))
 
 
 @query(
     "accumulate_labels",
-    "SELECT batch, split, count(*) AS n FROM (SELECT *, CASE split WHEN 'dev' THEN 0 ELSE 1 END::BIGINT AS batch FROM seq WHERE split <> 'train') GROUP BY 1, 2",
+    "SELECT CASE split WHEN 'train' THEN 0 ELSE 1 END::BIGINT AS batch, split, tag, count(*) AS n FROM seq GROUP BY 1, 2, 3",
 )
 def accumulate_labels(spark, d):
     """Two batches in one store; the second is written twice, as after a failed attempt."""
     rows = seq_examples(spark, d)
     store = work_path(spark, "labels")
-    rounds.append_labels(rows.where("split = 'dev'"), store, 0)
+    rounds.append_labels(rows.where("split = 'train'"), store, 0)
     for _attempt in range(2):
-        rounds.append_labels(rows.where("split = 'test'"), store, 1)
-    return rounds.stored_labels(spark, store).groupBy(big("batch").alias("batch"), "split").agg(F.count(F.lit(1)).alias("n"))
+        rounds.append_labels(rows.where("split <> 'train'"), store, 1)
+    return rounds.stored_labels(spark, store).groupBy(big("batch").alias("batch"), "split", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -168,7 +169,7 @@ def stream_vocab(spark, d):
 
 
 def stream_sentences(docs):
-    return document_sentences(docs, scan=False)
+    return document_sentences(docs)
 
 
 @query("stream_unique_words", "SELECT count(*) AS n_words FROM (SELECT DISTINCT word FROM tok)")
@@ -180,7 +181,8 @@ def stream_unique_words(spark, d):
 
 @query(
     "stream_label_append",
-    "SELECT src_id, count(*) AS n FROM bench_tok GROUP BY src_id",
+    walk_sql("bench_ctx", "bench_feats", "teacher") + " SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, t1 AS tag, "
+    "round(exp(z) / total, 6) AS p_best FROM g WHERE pos >= 0",
 )
 def stream_label_append(spark, d):
     """Label benchmark sentences as they arrive with a model of the event tags."""
@@ -188,4 +190,4 @@ def stream_label_append(spark, d):
     teacher = saved(teacher)
     items = jobs.stream_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("").alias("lang"))
     rows = jobs.label_append(stream_sentences(items), lambda df: rounds.label_batch(df, teacher), work_path(spark, "stream-labels"))
-    return rows.groupBy("src_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("src_id", big("seg").alias("seg"), big("pos").alias("pos"), "tag", r6(F.array_max("p")).alias("p_best"))

@@ -136,6 +136,7 @@ class Context(NamedTuple):
     lm_length: int = 40
     beam: sampling.BeamSettings = sampling.BeamSettings(0.4, 0.55, 100.0, 3, 3, 20, 30)
     seed: int = 123
+    start: int = 0  # candidates that earlier batches of the run have taken from the source
 
 
 def sentence_scores(sentences: DataFrame, model: LinearModel, score: str) -> DataFrame:
@@ -153,9 +154,10 @@ def _numbered(rows: DataFrame, number: str, batch: int) -> DataFrame:
 
 
 def _candidates(s: Strategy, ctx: Context, n: int, batch: int) -> DataFrame:
+    """``n`` candidates, going on in the source where the run stands."""
     spark = ctx.train.sparkSession
-    seed = ctx.seed + 1000 * batch
-    ids = spark.range(n)
+    seed, end = ctx.seed, ctx.start + n
+    ids = spark.range(ctx.start, end)
     if s.source in ("words", "uniform"):
         if s.source == "uniform":
             weights = ctx.counts.select("word", F.lit(1).alias("n"))
@@ -166,7 +168,8 @@ def _candidates(s: Strategy, ctx: Context, n: int, batch: int) -> DataFrame:
         scorer = sampling.WordScorer(model, SCORES[s.score])
         return _numbered(sampling.greedy_sentences(ids, weights, ctx.length, scorer, s.tries, seed), "id", batch)
     if s.source == "train":
-        return _numbered(selection.cycle(ctx.train, KEY, seed, n), "draw", batch)
+        drawn = selection.cycle(ctx.train, KEY, seed, end).where(F.col("draw") >= ctx.start)
+        return _numbered(drawn, "draw", batch)
     if s.source == "lm":
         b = ctx.beam
         return _numbered(sampling.lm_sample(ids, ctx.generator, b.l1, b.l2, ctx.lm_length, seed), "id", batch)
@@ -174,19 +177,20 @@ def _candidates(s: Strategy, ctx: Context, n: int, batch: int) -> DataFrame:
         model = ctx.student if s.score != "constant" else None
         scorer = sampling.WordScorer(model, SCORES[s.score])
         rows = sampling.beam_sentences(ids, ctx.generator, ctx.validator, scorer, ctx.beam._replace(tries=s.tries), seed)
-        return _numbered(rows.where("words IS NOT NULL"), "id", batch)
+        return _numbered(rows, "id", batch)
     if s.source == "chunks":
         n_words = ctx.counts.count()
         per_pass = math.ceil(n_words / ctx.length)
-        rows = selection.vocab_chunks(ctx.counts, ctx.length, math.ceil(n / per_pass), seed)
+        rows = selection.vocab_chunks(ctx.counts, ctx.length, math.ceil(end / per_pass), seed)
         draw = F.col("pass") * per_pass + F.col("chunk")
-        return _numbered(rows.withColumn("draw", draw).where(F.col("draw") < n), "draw", batch)
+        rows = rows.withColumn("draw", draw).where((F.col("draw") >= ctx.start) & (F.col("draw") < end))
+        return _numbered(rows, "draw", batch)
     raise ValueError(f"unknown source {s.source}")
 
 
 def choose(name: str, ctx: Context, n: int, batch: int) -> DataFrame:
     """``n`` sentences by a named strategy. Best-of-n strategies draw ``tries`` candidates per
-    wanted sentence, drop repeated contents and keep the best scored."""
+    wanted sentence, drop repeated contents and keep the best scored, numbered by rank."""
     s = STRATEGIES[name]
     if s.source not in ("train", "lm") or s.score == "constant":
         return _candidates(s, ctx, n, batch)
@@ -195,7 +199,14 @@ def choose(name: str, ctx: Context, n: int, batch: int) -> DataFrame:
     once = pool.groupBy(content.alias("_content")).agg(F.min_by(F.struct(*pool.columns), "src_id").alias("s"))
     pool = written(once.select("s.*"), "pool")
     scored = pool.join(sentence_scores(pool, ctx.student, s.score), KEY)
-    return selection.best_n(scored, "score", KEY, n).drop("score", "rank")
+    best = selection.best_n(scored, "score", KEY, n).withColumn("src_id", F.col("rank").cast("bigint"))
+    return best.drop("score", "rank")
+
+
+def candidates_per_choice(name: str) -> int:
+    """How many candidates of its source a strategy takes for each sentence."""
+    s = STRATEGIES[name]
+    return s.tries if s.source in ("train", "lm") and s.score != "constant" else 1
 
 
 def take_tokens(sentences: DataFrame, budget: int) -> DataFrame:
@@ -235,13 +246,14 @@ def run_rounds(
     tags = teacher.tags
     dev = written(label_batch(dev, teacher).withColumnRenamed("p", "tp"), "dev")
     mean_length = ctx.train.agg(F.avg(F.size("words"))).first()[0]
-    student = None
+    student, taken = None, {}
     for batch, budget in enumerate(budgets):
         name = "IID_WORDS" if batch == 0 else strategy
         source = STRATEGIES[name].source
         expected = {"train": mean_length, "lm": mean_length, "beam": ctx.beam.min_length + 1}.get(source, ctx.length)
-        state = ctx._replace(student=student, used=_used(spark, store, ctx, batch))
-        sentences = _fill(name, state, budget, max(1.0, expected), batch)
+        state = ctx._replace(student=student, used=_used(spark, store, ctx, batch), start=taken.get(name, 0))
+        sentences, asked = _fill(name, state, budget, max(1.0, expected), batch)
+        taken[name] = state.start + asked
         if allowed is not None and not split_by_filter(sentences, allowed)[1].isEmpty():
             raise ValueError("the strategy chose sentences that must not be labelled")
         append_labels(label_batch(sentences, teacher), store, batch)
@@ -257,15 +269,23 @@ def run_rounds(
     return Round(store, metrics, student)
 
 
-def _fill(name: str, ctx: Context, budget: int, expected: float, batch: int) -> DataFrame:
-    """Sentences for one budget. Lengths vary, so the number wanted is doubled until the
-    budget is met or the strategy has nothing more to give."""
+def _fill(name: str, ctx: Context, budget: int, expected: float, batch: int) -> tuple[DataFrame, int]:
+    """Sentences for one budget, and how many candidates of the source they used up.
+
+    Lengths vary, so the number wanted is doubled until the budget is met. A strategy that has
+    nothing more to give before that is an error."""
     wanted, before = math.ceil(budget / expected), -1
+    each = candidates_per_choice(name)
     while True:
         chosen = written(choose(name, ctx, wanted, batch), "candidates")
         total = chosen.agg(F.sum(F.size("words"))).first()[0] or 0
-        if total >= budget or total == before:
-            return written(take_tokens(chosen, budget), "chosen")
+        if total >= budget:
+            kept = written(take_tokens(chosen, budget), "chosen")
+            # Best-of-n looks at all its candidates; other sources stand after the last one kept.
+            asked = wanted * each if each > 1 else kept.agg(F.max("src_id")).first()[0] + 1 - ctx.start
+            return kept, int(asked)
+        if total == before:
+            raise ValueError(f"{name} has {total} tokens left, {budget} are asked for")
         wanted, before = wanted * 2, total
 
 

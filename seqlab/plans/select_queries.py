@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqlab.operators import sampling, selection
 from seqlab.operators.vocab import vocab_count
 from seqlab.plans.fragments import key_sql, uniform_sql
-from seqlab.plans.linear_queries import teacher_student
+from seqlab.plans.linear_queries import all_rows, teacher_student
 from seqlab.plans.lm_queries import _CDF_WORDS
 from seqlab.plans.registry import big, query, r6
 from seqlab.sources.corpora import KEY, seq, seq_tokens, table, tok, tokens
@@ -115,17 +115,17 @@ def least_used_words(spark, d):
 
 @query(
     "select_best_of_n",
-    f"WITH s AS (SELECT src_id, seg, avg(s) AS score FROM (SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_p GROUP BY 1, 2, 3) GROUP BY 1, 2) "
+    f"WITH s AS (SELECT src_id, seg, avg(s) AS score FROM (SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_pa GROUP BY 1, 2, 3) GROUP BY 1, 2) "
     f"SELECT src_id, {_SEG}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, src_id, seg) - 1 AS rank, count(*) OVER () AS size FROM s) WHERE rank < size // 4",
 )
 def select_best_of_n(spark, d):
-    """The quarter of the held-out sequences the student is least sure of."""
+    """The quarter of the sequences the student is least sure of."""
     from seqlab.functions.vectors import entropy
     from seqlab.operators.linear import predict_proba
     from seqlab.session import written
 
-    _, student, held = teacher_student(spark, d)
-    scored = predict_proba(held, student).groupBy(*KEY).agg(F.avg(entropy(F.col("p"))).alias("score"))
+    _, student, every = all_rows(spark, d)
+    scored = predict_proba(every, student).groupBy(*KEY).agg(F.avg(entropy(F.col("p"))).alias("score"))
     best = selection.best_share(written(scored, "scores"), "score", KEY, 4)
     return best.select("src_id", big("seg").alias("seg"), r6("score").alias("score"))
 

@@ -270,12 +270,12 @@ _MFT = (
 @query(
     "tag_by_lookup",
     "WITH " + _MFT.format(source="seq") + " SELECT src_id, CAST(seg AS BIGINT) AS seg, CAST(pos AS BIGINT) AS pos, word, tag, pred "
-    "FROM seq LEFT JOIN mft USING (word) WHERE split <> 'train'",
+    "FROM seq LEFT JOIN mft USING (word)",
 )
 def tag_by_lookup(spark, d):
     rows = seq_tokens(spark, d)
     model = tagging.most_frequent_tag(rows.where("split = 'train'"))
-    found = tagging.predict_by_lookup(rows.where("split <> 'train'"), model)
+    found = tagging.predict_by_lookup(rows, model)
     return found.select("src_id", big("seg").alias("seg"), big("pos").alias("pos"), "word", "tag", "pred")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,6 +16,13 @@ def build_session(app: str = "seqlab", cores: str = "*", **conf: str) -> SparkSe
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Tables here are single files, which one task would scan alone.
+        .config("seqlab.scan.partitions", str(os.cpu_count()) if cores == "*" else cores)
+        # Streaming state on local disk instead of the heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         # Joins whose partitions turn out small enough are hashed instead of sorted.
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
@@ -60,12 +68,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan only when it has fewer files than the session has cores.
+def cut_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan in ``seqlab.scan.partitions`` parts, or as it comes where that is not set.
 
-    On a large table the scan already yields many splits and nothing is shuffled.
+    For small tables in one file, which a scan cannot cut; local sessions set it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    parts = df.sparkSession.conf.get("seqlab.scan.partitions", None)
+    return df if parts is None or df.isStreaming else df.repartition(int(parts), *keys)

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.text import split_of
 from seqlab.operators.scale import number_rows
-from seqlab.session import spread, written
+from seqlab.session import cut_scan, written
 
 KEY = ["src_id", "seg"]
 TOKEN = ["src_id", "seg", "pos"]
-# A log has no sentence marks: a sequence is this many consecutive rows of one source at most,
-# so that no sentence grows with the data.
-MAX_SEQUENCE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +31,10 @@ def words_of(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit("[.,!?;:]|[^ \t\r.,!?;:]+"), F.lit(0))
 
 
-def document_sentences(docs: DataFrame, keep_empty: bool = False, scan: bool = True) -> DataFrame:
-    """Sentences of whole documents; the tag of every token is the language of its document.
-
-    ``scan`` tells that ``docs`` is a file scan that may be too coarse, not a stream.
-    """
+def document_sentences(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Sentences of whole documents; the tag of every token is the language of its document."""
     docs = docs.select("doc_id", "text", "lang")
-    lines = (spread(docs, "doc_id") if scan else docs).select(
+    lines = cut_scan(docs, "doc_id").select(
         F.col("doc_id").alias("src_id"),
         split_of(F.col("doc_id")).alias("split"),
         F.col("lang"),
@@ -67,40 +61,31 @@ def drop_empty(sentences: DataFrame) -> DataFrame:
 
 
 def event_tokens(events: DataFrame) -> DataFrame:
-    """Event log as tagged sequences: one source per user, ordered by time."""
-    rows = spread(events, "user_id").select(
+    """Event log as tagged sequences: one per user and calendar day, ordered by time."""
+    rows = cut_scan(events, "user_id").select(
         F.col("user_id").alias("src_id"),
+        F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("seg"),
         "ts",
         "event_id",
         F.get_json_object("props", "$.k").alias("word"),
         F.col("event_type").alias("tag"),
     )
     minute = F.substring(F.col("ts").cast("string"), 1, 16)
-    numbered = number_rows(rows, ["src_id"], ["ts", "event_id"], minute, "n")
-    return _cut(numbered)
+    numbered = number_rows(rows, KEY, ["ts", "event_id"], minute, "n")
+    return numbered.select(
+        *KEY, F.col("n").cast("int").alias("pos"), "word", "tag", split_of(F.col("src_id")).alias("split")
+    )
 
 
 def conversation_tokens(conversations: DataFrame) -> DataFrame:
-    """One token per turn, tagged with the role; the word is the first word of the turn."""
-    rows = conversations.select(
+    """All words of all turns, tagged with the role; a turn is a sentence of its conversation."""
+    turns = conversations.select(
         F.col("conv_id").alias("src_id"),
-        F.col("turn"),
-        F.coalesce(F.get(words_of(F.col("text")), F.lit(0)), F.lit("")).alias("word"),
+        F.col("turn").cast("int").alias("seg"),
         F.col("role").alias("tag"),
+        F.posexplode(words_of(F.translate("text", "\n", " "))).alias("pos", "word"),
     )
-    slot = F.lpad(F.floor(F.col("turn") / MAX_SEQUENCE).cast("string"), 20, "0")
-    return _cut(number_rows(rows, ["src_id"], ["turn"], slot, "n"))
-
-
-def _cut(numbered: DataFrame) -> DataFrame:
-    return numbered.select(
-        "src_id",
-        F.floor(F.col("n") / MAX_SEQUENCE).cast("int").alias("seg"),
-        (F.col("n") % MAX_SEQUENCE).cast("int").alias("pos"),
-        "word",
-        "tag",
-        split_of(F.col("src_id")).alias("split"),
-    )
+    return turns.select(*TOKEN, "word", "tag", split_of(F.col("src_id")).alias("split"))
 
 
 def pack(tokens: DataFrame, **arrays: str) -> DataFrame:

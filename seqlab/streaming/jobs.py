@@ -11,29 +11,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.session import work_path
-
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A table's parquet files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*")
+    """A table's parquet files as a stream: those in its folder, or the one file it is."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], name: str) -> None:
-    """Run a stream over everything that is there, then stop."""
-    spark = stream.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return place.getFileSystem(conf).getFileStatus(place).isDirectory()
+
+
+def drain(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], out: str) -> None:
+    """Run a stream over everything that is there, then stop.
+
+    The checkpoint lies in ``out``, in a folder that table readers pass over, so a later run on
+    the same ``out`` takes up where this one ended.
+    """
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
-        .option("checkpointLocation", work_path(spark, f"{name}-checkpoint"))
+        .option("checkpointLocation", f"{out}/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )
@@ -44,7 +49,7 @@ def running_vocab(tokens: DataFrame, out: str) -> DataFrame:
     """Word counts kept up to date. Each batch writes only the words it changed; a reader
     takes the newest count of each word."""
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    drain(counts, "update", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"), "vocab")
+    drain(counts, "update", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"), out)
     rows = tokens.sparkSession.read.schema("word string, n bigint, batch bigint").parquet(out)
     return rows.groupBy("word").agg(F.max_by("n", "batch").alias("n"))
 
@@ -53,11 +58,11 @@ def unique_words(tokens: DataFrame, out: str) -> DataFrame:
     """Words at their first appearance. The state grows with the vocabulary: there is no event
     time that could end it."""
     fresh = tokens.select("word").dropDuplicates(["word"])
-    drain(fresh, "append", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"), "unique")
+    drain(fresh, "append", lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"), out)
     return tokens.sparkSession.read.schema("word string, batch bigint").parquet(out)
 
 
 def label_append(sentences: DataFrame, label: Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
     """Label each micro-batch and append the training rows under its batch id."""
-    drain(sentences, "append", lambda df, batch: label(df).write.mode("overwrite").parquet(f"{out}/batch={batch}"), "labels")
+    drain(sentences, "append", lambda df, batch: label(df).write.mode("overwrite").parquet(f"{out}/batch={batch}"), out)
     return sentences.sparkSession.read.parquet(out)

@@ -121,7 +121,7 @@ def test_lm_samples(spark, lm):
 def test_beam_keeps_its_limits(spark, lm):
     model, s = lm
     plain = sampling.WordScorer(None, lambda p: F.lit(0.0))
-    b = sampling.BeamSettings(0.4, 0.5, 50.0, 2, 3, 1, 5, 6)
+    b = sampling.BeamSettings(0.4, 0.5, 50.0, 2, 3, 1, 5)
     rows = sampling.beam_sentences(spark.range(6), s, model, plain, b, 4).collect()
     assert sorted(r.id for r in rows) == list(range(6))
     assert all(r.words is None or 2 <= len(r.words) <= 4 for r in rows)
