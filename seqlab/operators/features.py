@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import FLAG_NAMES, ascii_lower, feature_array, feature_family
-from seqlab.operators.scale import lookup, named_bucket, number_rows
+from seqlab.operators.scale import lookup, number_rows
 from seqlab.sources.corpora import KEY, TOKEN
 
 BEGIN_WORD = "<s>"
@@ -58,7 +58,7 @@ def feature_vocab(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     flags = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in FLAG_NAMES])).alias("feature"))
     names = rows.select(F.explode("features").alias("feature")).distinct().union(flags).distinct()
-    return number_rows(names, [], ["feature"], named_bucket("feature"), "idx")
+    return number_rows(names, [], ["feature"], None, "idx")
 
 
 def vectorize(rows: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -125,15 +125,16 @@ def greedy_decode(sentences: DataFrame, model: LinearModel, distinct: bool = Tru
         content = F.sha2(F.concat_ws("\u001f", "words"), 256)
         keyed = sentences.withColumn("_content", content)
         first = keyed.groupBy("_content").agg(
-            F.min_by(F.struct(*KEY, "split", "words", "tags"), F.struct(*KEY)).alias("s"),
-            F.count(F.lit(1)).alias("n"),
+            F.min_by(F.struct(*KEY, "split", "words", "tags"), F.struct(*KEY)).alias("s")
         )
         first = written(first, "contents")
         once = _decode(first.select("s.*"), model)
-        found = first.select("_content", "n", F.col("s.src_id").alias("src_id"), F.col("s.seg").alias("seg")).join(
+        found = first.select("_content", F.col("s.src_id").alias("src_id"), F.col("s.seg").alias("seg")).join(
             once.select(*KEY, "preds", "ps"), KEY
         )
-        rows = lookup(keyed, found.select("_content", "preds", "ps"), ["_content"], found.select("_content", "n"))
+        # Written, so each content is decoded once and a content that very many sentences share
+        # is a skewed partition that adaptive execution can split.
+        rows = keyed.join(written(found.select("_content", "preds", "ps"), "decoded"), "_content", "left")
     else:
         rows = _decode(sentences, model)
     zipped = F.arrays_zip("words", "tags", "preds", "p1", "p2", "ps")

@@ -173,7 +173,14 @@ def count_checks(sentences: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def cdf(counts: DataFrame, context: list[str], element: str) -> DataFrame:
-    """Intervals ``lo <= u < hi`` of each element in alphabetical order, and the context size."""
+    """Intervals ``lo <= u < hi`` of each element in alphabetical order, and the context size.
+
+    Fractional counts are made whole, in steps of 2**-32 of the largest, so that sums do not
+    depend on their order and each interval begins where the one before ends.
+    """
+    if counts.schema["n"].dataType.typeName() in ("double", "float"):
+        top = counts.agg(F.max("n")).scalar()
+        counts = counts.withColumn("n", F.ceil(F.col("n") / top * F.lit(float(1 << 32))).cast("bigint"))
     cumulated = running_sum(counts, context, [element], text_bucket(element), F.col("n"), "hi_n")
     if context:
         totals = counts.groupBy(*context).agg(

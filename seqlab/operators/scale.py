@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seqlab.session import written
+
 MAX_HEAVY = 100_000
 SALTS = 4096
 
@@ -64,15 +66,15 @@ def running_sum(
     df: DataFrame,
     keys: list[str],
     order: list,
-    bucket: Column,
+    bucket: Column | None,
     value: Column,
     out: str,
 ) -> DataFrame:
     """Sum of ``value`` over the rows up to this one, per ``keys`` in ``order``.
 
-    ``bucket`` must not decrease along the order. Heavy key groups (and the whole table,
-    when there are no keys) are cut into buckets that run in parallel; the sums of earlier
-    buckets come from a table with one row per bucket. Without heavy keys one window does.
+    Without keys the table is cut into ranges of the order and written once; the sums of
+    earlier ranges come from a table with one row per range. With keys, heavy groups are cut
+    by ``bucket``, which must not decrease along the order; without heavy keys one window does.
     """
     marked = df.withColumn("_value", value)
     if keys:
@@ -86,7 +88,8 @@ def running_sum(
         )
         sums = marked.where("_heavy").groupBy(*keys, "_bucket")
     else:
-        marked = marked.withColumn("_bucket", bucket)
+        ranges = marked.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id())
+        marked = written(ranges, "ranges")
         sums = marked.groupBy("_bucket")
     sums = sums.agg(F.sum("_value").alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -99,7 +102,7 @@ def running_sum(
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str
+    df: DataFrame, keys: list[str], order: list, bucket: Column | None, out: str
 ) -> DataFrame:
     """Dense 0-based numbers per ``keys`` in ``order``; see :func:`running_sum`."""
     counted = running_sum(df, keys, order, bucket, F.lit(1).cast("bigint"), out)
@@ -111,12 +114,6 @@ def text_bucket(column: str) -> Column:
     return F.substring(column, 1, 3)
 
 
-def named_bucket(column: str) -> Column:
-    """As :func:`text_bucket` for ``name=value`` texts, where the names alone are few."""
-    name = F.length(F.substring_index(column, "=", 1))
-    return F.substring(F.col(column), F.lit(1), name + 4)
-
-
 def checked_small(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a small model table for the driver; refuses to fetch more than ``limit``."""
     rows = df.limit(limit + 1).collect()

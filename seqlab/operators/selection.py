@@ -5,17 +5,13 @@ Random order means: sorted by a seeded md5 of the row's ids, so it is the same o
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seqlab.functions.draws import draw_key, hash_bucket
 from seqlab.operators.scale import number_rows, running_sum
-
-SLICES = 256
+from seqlab.session import written
 
 
 def seeded_shuffle(df: DataFrame, keys: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
@@ -50,17 +46,17 @@ def token_budget(df: DataFrame, keys: list[str], seed: int, budget: int, length:
     """Sentences in seeded order until the token budget is used; the crossing one stays."""
     keyed = df.withColumn("shuffle_key", draw_key(seed, *[F.col(k) for k in keys]))
     order = ["shuffle_key", *keys]
-    summed = running_sum(keyed, [], order, hash_bucket(F.col("shuffle_key")), F.col(length).cast("bigint"), "upto")
+    summed = running_sum(keyed, [], order, None, F.col(length).cast("bigint"), "upto")
     return summed.where(F.col("upto") - F.col(length) < budget)
 
 
-def budget_batches(df: DataFrame, order: list[str], bucket: Column, sizes: list[int], length: str = "len") -> DataFrame:
+def budget_batches(df: DataFrame, order: list[str], sizes: list[int], length: str = "len") -> DataFrame:
     """Cut sentences, in order, into batches: each takes sentences until its budget is used.
 
     A batch starts where the one before stopped, so starts depend on the overshoot before
     them; one small job per batch finds the crossing sentence.
     """
-    summed = running_sum(df, [], order, bucket, F.col(length).cast("bigint"), "upto")
+    summed = written(running_sum(df, [], order, None, F.col(length).cast("bigint"), "upto"), "summed")
     start, spans = 0, []
     for batch, size in enumerate(sizes):
         end = summed.where(F.col("upto") >= start + size).agg(F.min("upto")).first()[0]
@@ -83,9 +79,8 @@ def running_unique(rows: DataFrame) -> DataFrame:
     )
     new = first.groupBy("batch").agg(F.count(F.lit(1)).alias("new_words"))
     both = tokens.join(new, "batch", "left").na.fill(0, ["new_words"])
-    slot = F.floor(F.col("batch") / 4096)
-    summed = running_sum(both, [], ["batch"], slot, F.col("tokens"), "n_tokens")
-    summed = running_sum(summed, [], ["batch"], slot, F.col("new_words"), "n_words")
+    summed = running_sum(both, [], ["batch"], None, F.col("tokens"), "n_tokens")
+    summed = running_sum(summed, [], ["batch"], None, F.col("new_words"), "n_words")
     return summed.select("batch", "n_tokens", "n_words")
 
 
@@ -96,8 +91,7 @@ def cycle(sentences: DataFrame, keys: list[str], seed: int | None, n: int) -> Da
     the order is that of the keys.
     """
     if seed is None:
-        slot = F.floor(F.col(keys[0]) / 65536)
-        ranked = number_rows(sentences, [], keys, slot, "rank")
+        ranked = number_rows(sentences, [], keys, None, "rank")
     else:
         ranked = seeded_shuffle(sentences, keys, seed).drop("shuffle_key")
     size = sentences.agg(F.count(F.lit(1))).scalar()
@@ -114,9 +108,8 @@ def vocab_chunks(words: DataFrame, length: int, passes: int, seed: int) -> DataF
     key = F.when(F.col("pass") == 0, F.col("word")).otherwise(
         F.md5(F.concat_ws("|", (F.col("pass") + seed).cast("string"), F.col("word")))
     )
-    keyed = each.select("pass", "word", key.alias("key")).withColumn("_part", F.substring("key", 1, 3))
-    order = F.concat(F.lpad(F.col("pass").cast("string"), 9, "0"), F.lit("|"), F.col("_part"))
-    ranked = number_rows(keyed, [], ["pass", "key", "word"], order, "rank")
+    keyed = each.select("pass", "word", key.alias("key"))
+    ranked = number_rows(keyed, [], ["pass", "key", "word"], None, "rank")
     size = distinct.agg(F.count(F.lit(1))).scalar()
     local = F.col("rank") - F.col("pass") * size
     chunked = ranked.select("pass", "word", F.floor(local / length).alias("chunk"), local.alias("at"))
@@ -138,19 +131,11 @@ def best_n(df: DataFrame, score: str, keys: list[str], n: int) -> DataFrame:
 def ranked_by_score(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
     """Add the 0-based ``rank`` by falling score, ids on ties.
 
-    Slices between quantiles run in parallel. A score that very many rows share is a quantile
-    itself: its rows come first in their slice and are cut further by the first id.
+    Scores are compared to nine places: a mean that was summed in another order is a tie, so
+    that runs and retries agree.
     """
-    flipped = df.withColumn("_x", -F.col(score))
-    cuts = sorted(set(flipped.approxQuantile("_x", [i / SLICES for i in range(SLICES + 1)], 0.25 / SLICES)))
-    edges = [-math.inf, *cuts, math.inf]
-    placed = Bucketizer(splits=edges, inputCol="_x", outputCol="_slice").transform(flipped)
-    edge = F.get(F.array(*[F.lit(e) for e in edges]), F.col("_slice").cast("int"))
-    between = (F.col("_x") != edge).cast("int")
-    part = F.when(between == 0, F.floor(F.col(keys[0]) / 65536)).otherwise(0)
-    bucket = F.struct("_slice", between.alias("between"), part.alias("part"))
-    ranked = number_rows(placed, [], [F.col("_x"), *keys], bucket, "rank")
-    return ranked.drop("_x", "_slice")
+    flipped = df.withColumn("_x", -F.round(score, 9))
+    return number_rows(flipped, [], ["_x", *keys], None, "rank").drop("_x")
 
 
 def usage_scores(words: DataFrame, used: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import ascii_lower, word_class
-from seqlab.operators.scale import lookup, number_rows, text_bucket
+from seqlab.operators.scale import lookup, number_rows
 from seqlab.session import written
 from seqlab.sources.corpora import KEY, TOKEN
 
@@ -84,7 +84,7 @@ def top_words(tokens: DataFrame, n: int) -> DataFrame:
 
 def vocab_ids(words: DataFrame, column: str = "word") -> DataFrame:
     """Distinct values numbered from 0 in sorted order, without one task sorting them all."""
-    return number_rows(words.select(column).distinct(), [], [column], text_bucket(column), "id")
+    return number_rows(words.select(column).distinct(), [], [column], None, "id")
 
 
 def with_specials(words: DataFrame) -> DataFrame:

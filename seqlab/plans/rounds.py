@@ -212,8 +212,7 @@ def candidates_per_choice(name: str) -> int:
 def take_tokens(sentences: DataFrame, budget: int) -> DataFrame:
     """Sentences in draw order until the budget is used; the crossing one stays."""
     n = F.size("words").cast("bigint")
-    slot = F.floor(F.col("src_id") / 4096)
-    summed = running_sum(sentences.withColumn("_n", n), [], ["src_id"], slot, F.col("_n"), "_upto")
+    summed = running_sum(sentences.withColumn("_n", n), [], ["src_id"], None, F.col("_n"), "_upto")
     return summed.where(F.col("_upto") - F.col("_n") < budget).drop("_n", "_upto")
 
 

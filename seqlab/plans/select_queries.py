@@ -116,7 +116,7 @@ def least_used_words(spark, d):
 @query(
     "select_best_of_n",
     f"WITH s AS (SELECT src_id, seg, avg(s) AS score FROM (SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_pa GROUP BY 1, 2, 3) GROUP BY 1, 2) "
-    f"SELECT src_id, {_SEG}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, src_id, seg) - 1 AS rank, count(*) OVER () AS size FROM s) WHERE rank < size // 4",
+    f"SELECT src_id, {_SEG}, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, src_id, seg) - 1 AS rank, count(*) OVER () AS size FROM s) WHERE rank < size // 4",
 )
 def select_best_of_n(spark, d):
     """The quarter of the sequences the student is least sure of."""

@@ -12,7 +12,7 @@ from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
 from seqlab.sources import files
 from seqlab.sources.corpora import (
-    KEY, benchmark_sentences, conversation_tokens, document_sentences, drop_empty, seq, seq_tokens,
+    KEY, benchmark_sentences, conversation_tokens, document_sentences, not_empty, seq, seq_tokens,
     table, tok, tokens,
 )
 
@@ -34,20 +34,34 @@ def narrow(spark: SparkSession, d: str) -> DataFrame:
 # Sources and sinks
 
 
-@query("read_conll", "SELECT word, tag, CAST(pos AS BIGINT) AS pos, count(*) AS n FROM seq GROUP BY word, tag, pos")
+def sentence_counts(rows):
+    """How often each sentence, with its tags, was read."""
+    line = F.array_sort(F.collect_list(F.struct("pos", "word", "tag")))
+    packed = rows.groupBy("file", "sentence").agg(line.alias("l"))
+    tags = F.array_join(F.col("l.tag"), " ").alias("tags")
+    words = F.array_join(F.col("l.word"), " ").alias("words")
+    return packed.select(words, tags).groupBy("words", "tags").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sentence_counts_sql(source):
+    return (
+        "SELECT words, tags, count(*) AS n FROM (SELECT string_agg(word, ' ' ORDER BY pos) AS words, string_agg(tag, ' ' ORDER BY pos) AS tags "
+        f"FROM {source} GROUP BY src_id, seg) GROUP BY words, tags"
+    )
+
+
+@query("read_conll", _sentence_counts_sql("seq"))
 def read_conll(spark, d):
     path = work_path(spark, "conll")
     files.write_conll(seq(spark, d), path)
-    rows = files.read_conll(spark, path)
-    return rows.groupBy("word", "tag", big("pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    return sentence_counts(files.read_conll(spark, path))
 
 
-@query("read_docs", "SELECT word, tag, CAST(pos AS BIGINT) AS pos, count(*) AS n FROM tok GROUP BY word, tag, pos")
+@query("read_docs", _sentence_counts_sql("tok"))
 def read_docs(spark, d):
     path = work_path(spark, "docs")
     files.write_docs(tok(spark, d), path)
-    rows = files.read_docs(spark, path)
-    return rows.groupBy("word", "tag", big("pos").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+    return sentence_counts(files.read_docs(spark, path))
 
 
 @query(
@@ -201,9 +215,9 @@ def preprocess_allowlist(spark, d):
 )
 def drop_empty_sentences(spark, d):
     everything = document_sentences(table(spark, d, "documents"), keep_empty=True)
-    kept = drop_empty(everything).groupBy("src_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    counts = everything.groupBy("src_id").agg(F.count(F.lit(1)).alias("n_all"))
-    return counts.join(kept, "src_id", "left").na.fill(0, ["n_kept"])
+    return everything.groupBy("src_id").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count(F.when(not_empty(), 1)).alias("n_kept")
+    )
 
 
 @query("pad_sentence", "SELECT src_id, CAST(seg AS BIGINT) AS seg, '<s> <s> ' || array_to_string(words, ' ') || ' </s>' AS padded FROM tok_sent")
@@ -383,6 +397,8 @@ def vocab_with_specials(spark, d):
     "SELECT n_words, n_outside FROM (SELECT count(DISTINCT word) AS n_words, count(DISTINCT word) FILTER (word NOT IN (SELECT word FROM tok_top)) AS n_outside FROM tok_narrow)",
 )
 def subset_check(spark, d):
-    words = narrow(spark, d).select("word").distinct()
-    missing = vocab.outside(words, allowed_words(spark, d))
+    allowed = written(allowed_words(spark, d), "allowed")
+    rows = tokens(tok(spark, d))
+    words = written(vocab.preprocess(rows, vocab.allowlist_norms(rows, allowed)).select("word").distinct(), "words")
+    missing = vocab.outside(words, allowed)
     return words.agg(F.count(F.lit(1)).alias("n_words")).select("n_words", missing.agg(F.count(F.lit(1))).scalar().alias("n_outside"))

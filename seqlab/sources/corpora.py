@@ -56,8 +56,12 @@ def benchmark_sentences(items: DataFrame) -> DataFrame:
     )
 
 
+def not_empty() -> Column:
+    return F.size("words") > 0
+
+
 def drop_empty(sentences: DataFrame) -> DataFrame:
-    return sentences.where(F.size("words") > 0)
+    return sentences.where(not_empty())
 
 
 def event_tokens(events: DataFrame) -> DataFrame:

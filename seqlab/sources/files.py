@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlab.operators.scale import number_rows, running_sum
+from seqlab.session import written
+
 # Fixed values of the log format.
 DONE_MARKER = "Labels Only Experiment Done"
 LOG_HEADERS = [
@@ -19,29 +22,48 @@ LOG_HEADERS = [
 RUN_NAME = r"words(\d+)_l2_weight([^_]+).*lossimpr([^_]+).*0_(.+)\.txt"
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line separated blocks as arrays of stripped lines, with a key that holds across
-    files: ``file``, ``block``, ``part``. Lines of blanks also end a block."""
-    raw = (
-        spark.read.option("lineSep", "\n\n").text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block"), "value")
+def _lines(spark: SparkSession, path: str, ends: Column) -> DataFrame:
+    """``file sentence pos line`` of the lines that are not blank.
+
+    A sentence ends at every line for which ``ends`` holds (``value`` is the line without blanks
+    at its end). Files are read by lines, so none has to fit one record; lines are in the order
+    of the splits of a file and of the rows in each.
+    """
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.regexp_replace("value", "[ \t\r]+$", "").alias("value"),
     )
-    stripped = F.regexp_replace(F.regexp_replace("value", "[ \t\r]+\n", "\n"), "[ \t\r]+$", "")
-    parts = raw.select("file", "block", F.posexplode(F.split(stripped, "\n\n+")).alias("part", "text"))
-    lines = F.array_remove(F.split("text", "\n"), "")
-    return parts.select("file", "block", "part", lines.alias("lines")).where(F.size("lines") > 0)
+    read = written(read.withColumn("ends", ends), "lines")
+    order = ["split", "line_no"]
+    cut = F.format_string("%020d-%020d", F.col("split"), F.shiftright("line_no", 16))
+    counted = running_sum(read, ["file"], order, cut, F.col("ends").cast("bigint"), "sentence")
+    kept = counted.where(~F.col("ends"))
+    numbered = number_rows(kept, ["file", "sentence"], order, cut, "pos")
+    return numbered.select("file", "sentence", F.col("pos").cast("int").alias("pos"), F.col("value").alias("line"))
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """Tab-column files: word in column 1, tag in column 3, blank lines between sentences.
 
     A last sentence without a closing blank line is kept, and empty sentences are not made.
-    Columns ``file block part pos word tag``.
+    Columns ``file sentence pos word tag``.
     """
-    rows = _blocks(spark, path).select("file", "block", "part", F.posexplode("lines").alias("pos", "line"))
+    rows = _lines(spark, path, F.col("value") == "")
     cols = F.split("line", "\t")
     return rows.select(
-        "file", "block", "part", "pos", F.get(cols, F.lit(1)).alias("word"), F.get(cols, F.lit(3)).alias("tag")
+        "file", "sentence", "pos", F.get(cols, F.lit(1)).alias("word"), F.get(cols, F.lit(3)).alias("tag")
+    )
+
+
+def read_docs(spark: SparkSession, path: str) -> DataFrame:
+    """Tagged documents: units end at a ``-DOCSTART-`` line or a blank line; a line is cut at
+    its first tab. Columns ``file sentence pos word tag``, a sentence being a unit."""
+    rows = _lines(spark, path, (F.col("value") == "") | F.col("value").rlike("^-DOCSTART-.+"))
+    cols = F.split("line", "\t", 2)
+    return rows.select(
+        "file", "sentence", "pos", F.get(cols, F.lit(0)).alias("word"), F.get(cols, F.lit(1)).alias("tag")
     )
 
 
@@ -53,21 +75,6 @@ def write_conll(sentences: DataFrame, path: str) -> None:
     sentences.select(F.array_join(line, "\n").alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
-def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """Tagged documents: units end at a ``-DOCSTART-`` line or a blank line; a line is cut at
-    its first tab. Columns ``file block part unit pos word tag``."""
-    rows = _blocks(spark, path).select("file", "block", "part", "lines")
-    is_start = lambda line: line.rlike("^-DOCSTART-.+")
-    text = F.array_join(F.transform("lines", lambda x: F.when(is_start(x), "\u0001").otherwise(x)), "\n")
-    units = rows.select("file", "block", "part", F.posexplode(F.split(text, "\u0001")).alias("unit", "text"))
-    lines = F.array_remove(F.split("text", "\n"), "")
-    each = units.select("file", "block", "part", "unit", F.posexplode(lines).alias("pos", "line"))
-    cols = F.split("line", "\t", 2)
-    return each.select(
-        "file", "block", "part", "unit", "pos", F.get(cols, F.lit(0)).alias("word"), F.get(cols, F.lit(1)).alias("tag")
-    )
-
-
 def write_docs(sentences: DataFrame, path: str) -> None:
     """One ``-DOCSTART-`` unit per sentence."""
     line = F.transform(F.arrays_zip("words", "tags"), lambda t: F.concat_ws("\t", t["words"], t["tags"]))

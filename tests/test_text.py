@@ -41,19 +41,33 @@ def test_first_word_takes_frequent_lower_form(spark):
 def test_conll_reader(spark, tmp_path):
     text = "1\tThe\t_\tDT\n2\tdog\t_\tNN\n\n\n1\truns\t_\tVB\n   \n1\tfast\t_\tRB\n2\tnow\t_\tRB"
     (tmp_path / "a.conll").write_text(text)
-    rows = files.read_conll(spark, str(tmp_path)).orderBy("file", "block", "part", "pos").collect()
+    rows = files.read_conll(spark, str(tmp_path)).orderBy("file", "sentence", "pos").collect()
     sents = {}
     for r in rows:
-        sents.setdefault((r.block, r.part), []).append((r.word, r.tag))
+        sents.setdefault(r.sentence, []).append((r.word, r.tag))
     assert list(sents.values()) == [[("The", "DT"), ("dog", "NN")], [("runs", "VB")], [("fast", "RB"), ("now", "RB")]]
 
 
 def test_doc_reader(spark, tmp_path):
     (tmp_path / "d.txt").write_text("-DOCSTART- 1\na\tX\nb\tY\tZ\n\n-DOCSTART- 2\n-DOCSTART- 3\nc\tX\n")
-    rows = files.read_docs(spark, str(tmp_path)).orderBy("block", "part", "unit", "pos").collect()
+    rows = files.read_docs(spark, str(tmp_path)).orderBy("sentence", "pos").collect()
     assert [(r.word, r.tag) for r in rows] == [("a", "X"), ("b", "Y\tZ"), ("c", "X")]
 
 
+def test_readers_cut_files_by_lines(spark, tmp_path):
+    """Neither a file without blank lines nor one with CRLF ends is a single record."""
+    (tmp_path / "crlf").mkdir()
+    (tmp_path / "crlf" / "a").write_bytes(b"1\tA\t_\tX\r\n\r\n1\tB\t_\tY\r\n2\tC\t_\tZ\r\n")
+    rows = files.read_conll(spark, str(tmp_path / "crlf")).orderBy("sentence", "pos").collect()
+    assert [(r.word, r.tag, r.pos) for r in rows] == [("A", "X", 0), ("B", "Y", 0), ("C", "Z", 1)]
+    (tmp_path / "units").mkdir()
+    (tmp_path / "units" / "a").write_text("".join(f"-DOCSTART- {k}\nw{k}\tT\n" for k in range(500)))
+    rows = files.read_docs(spark, str(tmp_path / "units"))
+    assert rows.select("sentence").distinct().count() == 500
+    lines = files._lines(spark, str(tmp_path / "units"), files.F.col("value") == "")
+    assert lines.count() == 1000
+
+
 def test_logs_take_the_last_block_of_finished_runs(spark, tmp_path):
     done = "accuracies\n[0.1]\nnoise\naccuracies\n[0.2, 0.3]\nLabels Only Experiment Done\n"
     (tmp_path / "a.txt").write_text(done)
