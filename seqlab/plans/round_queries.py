@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqlab.operators import ngram, sampling, tagging
 from seqlab.operators.vocab import vocab_count
 from seqlab.plans import rounds
-from seqlab.plans.fragments import MIN_FREQ
+from seqlab.plans.fragments import MIN_FREQ, key_sql, uniform_sql
 from seqlab.plans.linear_queries import all_rows, seq_examples, teacher_student, walk_sql
 from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
@@ -105,7 +105,62 @@ def corpus_bundle_models(spark, d):
     return out[0].unionByName(out[1])
 
 
-FAST = ["UNIGRAMS", "FROM_TRAIN_SET", "FROM_TRAIN_SET_MAX_ENTROPY", "FROM_TRAIN_SET_MAX_GRADIENT", "IID_WORDS", "SEQUENTIAL"]
+SEED = rounds.Context._field_defaults["seed"]
+LENGTH = rounds.Context._field_defaults["length"]
+_TRAIN = "SELECT src_id, seg, string_agg(word, ' ' ORDER BY pos) AS sentence FROM seq WHERE split = 'train' GROUP BY src_id, seg"
+_WORDS = "SELECT word, count(*) AS n FROM seq WHERE split = 'train' GROUP BY word"
+
+
+def _drawn_sql(weights: str) -> str:
+    """As many sentences of drawn words as there are training sequences."""
+    return (
+        f"WITH n AS (SELECT word, {weights} AS n FROM ({_WORDS})), "
+        "c AS (SELECT word, (sum(n) OVER (ORDER BY word) - n) / sum(n) OVER () AS lo, sum(n) OVER (ORDER BY word) / sum(n) OVER () AS hi FROM n), "
+        f"a AS (SELECT unnest(range((SELECT count(*) FROM ({_TRAIN})))) AS id), p AS (SELECT id, unnest(range({LENGTH})) AS place FROM a), "
+        f"u AS (SELECT id, place, {uniform_sql(SEED, 'id', 'place', 0)} AS u FROM p) "
+        "SELECT id AS src_id, string_agg(word, ' ' ORDER BY place) AS sentence FROM u JOIN c ON u >= lo AND u < hi GROUP BY id"
+    )
+
+
+def _strategy(spark, d, name, n=None):
+    """All sentences that a strategy gives in one batch."""
+    ctx = context(spark, d, None)._replace(length=LENGTH)
+    rows = rounds.choose(name, ctx, n(ctx) if n else ctx.train.count(), 1)
+    return rows.select("src_id", F.array_join("words", " ").alias("sentence"))
+
+
+@query(
+    "strategy_from_train_set",
+    f"SELECT row_number() OVER (ORDER BY {key_sql(SEED, 'src_id', 'seg')}, src_id, seg) - 1 AS src_id, sentence FROM ({_TRAIN})",
+)
+def strategy_from_train_set(spark, d):
+    """Every training sequence in seeded order."""
+    return _strategy(spark, d, "FROM_TRAIN_SET")
+
+
+@query("strategy_unigrams", _drawn_sql(f"CAST(ceil(n / (SELECT max(n) FROM ({_WORDS})) * 4294967296.0::DOUBLE) AS BIGINT)"))
+def strategy_unigrams(spark, d):
+    """Words in proportion to their counts; nothing has been used before."""
+    return _strategy(spark, d, "UNIGRAMS")
+
+
+@query("strategy_iid_words", _drawn_sql("1"))
+def strategy_iid_words(spark, d):
+    return _strategy(spark, d, "IID_WORDS")
+
+
+@query(
+    "strategy_sequential",
+    f"WITH w AS (SELECT word, pass, row_number() OVER (PARTITION BY pass ORDER BY CASE pass WHEN 0 THEN word ELSE md5(CAST({SEED} + pass AS VARCHAR) || '|' || word) END) - 1 AS k, "
+    f"count(*) OVER (PARTITION BY pass) AS size FROM ({_WORDS}), (SELECT unnest([0, 1]) AS pass)) "
+    f"SELECT pass * CAST(ceil(size / {LENGTH}.0) AS BIGINT) + k // {LENGTH} AS src_id, string_agg(word, ' ' ORDER BY k) AS sentence FROM w GROUP BY 1",
+)
+def strategy_sequential(spark, d):
+    """The word list in chunks, twice round."""
+    return _strategy(spark, d, "SEQUENTIAL", lambda ctx: 2 * -(-ctx.counts.count() // LENGTH))
+
+
+FAST = ["FROM_TRAIN_SET_MAX_ENTROPY", "FROM_TRAIN_SET_MAX_GRADIENT"]
 
 
 def _chosen(spark, d, names, n, language_model=False):
@@ -127,7 +182,7 @@ def _tenth(spark, d) -> int:
 
 @query("selection_strategies")
 def selection_strategies(spark, d):
-    """Sentences chosen by every strategy that reads the corpus or the word list."""
+    """Sentences that the strategies choose from the corpus by the student's uncertainty."""
     return _chosen(spark, d, FAST, _tenth(spark, d))
 
 

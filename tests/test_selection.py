@@ -152,3 +152,33 @@ def test_filter_and_grid(spark):
     # 0.9 goes with neither: both sums reach 1.
     work = rounds.with_grid(sents, {"l1": [0.5, 0.9], "l2": [0.1, 0.2]}, F.col("l1") + F.col("l2") < 1)
     assert sorted((r.l1, r.l2) for r in work.collect()) == [(0.5, 0.1)] * 2 + [(0.5, 0.2)] * 2
+
+
+def test_batches_of_a_run_share_no_sentence(spark):
+    """A source that is not used up goes on where the batch before ended."""
+    from seqlab.plans import rounds
+    from tests.conftest import make_sentences
+
+    train = make_sentences(spark, [[(f"w{k}", "X"), (f"v{k}", "X")] for k in range(60)])
+    counts = spark.createDataFrame([(f"w{k}", 1) for k in range(60)], "word string, n long")
+    nothing = spark.createDataFrame([], "word string, used long")
+    ctx = rounds.Context(train, counts, nothing, None, None, None, length=5)
+    for name in ("FROM_TRAIN_SET", "SEQUENTIAL"):
+        first, asked = rounds._fill(name, ctx, 20, 2.0 if name == "FROM_TRAIN_SET" else 5.0, 0)
+        second, _ = rounds._fill(name, ctx._replace(start=asked), 20, 2.0 if name == "FROM_TRAIN_SET" else 5.0, 1)
+        a, b = ({tuple(r.words) for r in x.collect()} for x in (first, second))
+        assert len(a) >= 4 and len(b) >= 4 and not a & b
+
+
+def test_budget_beyond_the_source_is_an_error(spark):
+    import pytest
+
+    from seqlab.plans import rounds
+    from tests.conftest import make_sentences
+
+    train = make_sentences(spark, [])
+    counts = spark.createDataFrame([], "word string, n long")
+    nothing = spark.createDataFrame([], "word string, used long")
+    ctx = rounds.Context(train, counts, nothing, None, None, None)
+    with pytest.raises(ValueError):
+        rounds._fill("FROM_TRAIN_SET", ctx, 20, 2.0, 0)
