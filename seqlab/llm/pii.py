@@ -184,3 +184,7 @@ def as_text(spans: Column) -> Column:
 
 def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

@@ -48,10 +48,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
-    counts = [
-        F.size(F.filter(spans, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in pii.BASE
-    ]
+    counts = [pii.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.BASE]
     return pii.find(table(spark, sf_dir, "documents")).select(
         "doc_id",
         *counts,

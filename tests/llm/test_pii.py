@@ -61,3 +61,18 @@ def test_rows(spark):
     ]
     assert pii.find(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_query(spark):
+    from seqlab.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = QUERIES["op3_pii"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        spans = plain(docs[r.doc_id] or "")
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        counts = [sum(k == kind for k, _, _ in spans) for kind in pii.BASE]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+    assert sum(r.n_card for r in got) > 0
