@@ -161,6 +161,25 @@ def greedy_sentences_entropy(spark, d):
     return out.select("id", F.array_join("words", " ").alias("sentence"))
 
 
+BUDGETS = [10_000] + [5_000] * 11
+
+
+@query(
+    "token_budget_batches",
+    "RECURSIVE WITH s AS MATERIALIZED (SELECT len(words) AS n, sum(len(words)) OVER (ORDER BY src_id, seg) AS upto FROM tok_sent), "
+    f"b AS (SELECT 0::BIGINT AS batch, 0::HUGEINT AS lo, min(upto) AS hi FROM s WHERE upto >= {BUDGETS[0]} UNION ALL "
+    f"SELECT b.batch + 1, b.hi, (SELECT min(upto) FROM s WHERE upto >= b.hi + {BUDGETS[1]}) FROM b WHERE b.batch + 1 < {len(BUDGETS)} AND b.hi IS NOT NULL) "
+    "SELECT batch, count(*) AS n_sentences, sum(n)::BIGINT AS n_tokens, max(upto)::BIGINT AS tokens_so_far FROM s JOIN b ON upto > lo AND (hi IS NULL OR upto <= hi) GROUP BY batch",
+)
+def token_budget_batches(spark, d):
+    """The corpus in order, cut by token budgets; each batch ends with the sentence that crosses it."""
+    rows = tok(spark, d).select(*KEY, F.size("words").alias("len"))
+    cut = selection.budget_batches(rows, KEY, BUDGETS)
+    return cut.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.sum("len").alias("n_tokens"), F.max("upto").alias("tokens_so_far")
+    )
+
+
 # Series
 
 _SERIES = (
