@@ -14,8 +14,10 @@ of the union. No link is lost and no group is spelled out in pairs:
    OR-combined bitmaps and size ranges. The dual traversal starts at (root, root) and drops a pair
    of nodes when the largest overlap that bitmaps and sizes allow is too small, or when all
    its rows are connected already; what remains is compared exactly.
-4. First only neighbouring leaves meet. Then the leaf pairs meet in which some components are
-   still apart, so a huge group of near copies costs a chain of leaves, not their square.
+4. First only neighbouring leaves meet, so that a huge group of near copies costs a chain of
+   leaves, not their square. In candidate groups of several leaves the holders of each segment meet
+   next, of those segments only whose holders are not connected by then: a group that hangs together
+   by passages that many short texts share is never compared pair by pair.
 """
 
 from __future__ import annotations
@@ -47,7 +49,9 @@ from seqlab.session import written
 LEAF = 256
 LEAF_SHINGLES = 1 << 20
 FAN = 8
-#: Widest bitmap; with larger sets several shingles share a bit, which the bound allows for.
+#: Bits for each shingle of the largest set, so that nodes of unlike sets stay sparse, and the
+#: widest bitmap; where several shingles share a bit, the bound allows for it.
+SPREAD = 64
 BITS = 1 << 16
 
 
@@ -207,9 +211,16 @@ def _segment_rows(n_words: int, percent: int, blocks: int) -> Callable:
 
 
 def _forest(doc: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the documents of each run as the run does, without circles."""
-    same = np.flatnonzero(run_of[1:] == run_of[:-1])
-    pairs = np.stack([doc[same], doc[same + 1]], axis=1)
+    """Edges that connect the documents of each run as the run does, without circles.
+
+    They go to the smallest document of the run, so that paths stay short.
+    """
+    order = np.lexsort((doc, run_of))
+    doc, run_of = doc[order], run_of[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = run_of[1:] != run_of[:-1]
+    hub = doc[first][np.cumsum(first) - 1]
+    pairs = np.stack([hub, doc], axis=1)[~first]
     pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
     nodes, index = np.unique(pairs, return_inverse=True)
     forest = Forest(len(nodes))
@@ -238,7 +249,7 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
         size = np.array([len(s) for s in sets])
-        width = min(BITS, max(64, 1 << int(2 * size.max() - 1).bit_length()))
+        width = min(BITS, max(64, 1 << int(SPREAD * size.max() - 1).bit_length()))
         bits = np.zeros((len(sets), width), bool)
         for row, s in zip(bits, sets, strict=True):
             row[(s & np.uint64(width - 1)).astype(np.int64)] = True
@@ -268,11 +279,45 @@ class SignatureTree:
         return (overlap * (100 + sizes.percent) >= needed) & ~apart
 
 
-def connect(sets: list[np.ndarray], forest: Forest, sizes: Sizes) -> list[tuple[int, int]]:
-    """Links that connect whatever links connect; ``forest`` says what is connected already."""
-    tree, found = SignatureTree(sets), []
+def connect(
+    sets: list[np.ndarray],
+    forest: Forest,
+    sizes: Sizes,
+    names: list[tuple[int, int]] | None = None,
+    compared: set | None = None,
+) -> list[tuple[int, int]]:
+    """Links that connect whatever links connect; ``forest`` says what is connected already.
+
+    Pairs of ``names`` (one per set) in ``compared`` are known not to link, and new ones join it.
+    """
+    found: list[tuple[int, int]] = []
     n = len(sets)
 
+    def compare(i: int, j: int) -> None:
+        if names is not None:
+            pair = (names[i], names[j]) if names[i] < names[j] else (names[j], names[i])
+            if pair in compared:
+                return
+            compared.add(pair)
+        a, b = sets[i], sets[j]
+        if len(a) > len(b):
+            a, b = b, a
+        needed = sizes.least_overlap(len(a), len(b))
+        if needed > len(a):
+            return
+        at = np.searchsorted(b, a)
+        if int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= needed:
+            forest.union(i, j)
+            found.append((i, j))
+
+    if n <= FAN:  # a tree of one node
+        for i in range(n):
+            for j in range(i + 1, n):
+                if forest.find(i) != forest.find(j):
+                    compare(i, j)
+        return found
+    tree = SignatureTree(sets)
+
     def together(level: int, i: int, j: int) -> bool:
         span = FAN**level
         rows = [*range(i * span, min(n, (i + 1) * span)), *range(j * span, min(n, (j + 1) * span))]
@@ -284,14 +329,7 @@ def connect(sets: list[np.ndarray], forest: Forest, sizes: Sizes) -> list[tuple[
             return
         if level == 0:
             if i != j:
-                a, b = sets[i], sets[j]
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                if common >= sizes.least_overlap(len(a), len(b)):
-                    forest.union(i, j)
-                    found.append((i, j))
+                compare(i, j)
             return
         width = len(tree.levels[level - 1][0])
         left = range(i * FAN, min(width, (i + 1) * FAN))
@@ -306,29 +344,42 @@ def connect(sets: list[np.ndarray], forest: Forest, sizes: Sizes) -> list[tuple[
 
 
 def _tree_links(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a group with columns pair, doc, known, members: new links within each pair of leaves."""
+    """Of a group with columns pair, doc, known, members: new links within each pair of leaves.
+
+    Rows with ``members`` bring the sets of a document, rows with ``pair`` say where it stands.
+    No two documents are compared twice in the group, and what one pair connects the next knows.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         sizes = Sizes(percent)
         table = table.combine_chunks()
-        pairs = table.column("pair").to_numpy()
-        docs, known = table.column("doc").to_numpy(), table.column("known").to_numpy()
-        lists = table.column("members").chunk(0) if len(table) else None
-        counts = np.diff(lists.offsets.to_numpy())
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        order = np.lexsort((docs, counts, pairs))
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in table.to_batches():
+            lists = batch.column(3)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            filled, docs = lists.is_valid().to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for k in np.flatnonzero(filled).tolist():
+                sets.setdefault(docs[k], []).append(values[at[k] : at[k + 1]])
+        placed = table.filter(table.column("pair").is_valid())
+        pairs, docs, known = (placed.column(c).to_numpy() for c in ("pair", "doc", "known"))
+        names, index = np.unique(known, return_inverse=True)
+        joined, compared, out = Forest(len(names)), set(), []
+        order = np.lexsort((docs, pairs))
         cuts = np.flatnonzero(np.diff(pairs[order])) + 1
-        a, b = [], []
         for rows in np.split(order, cuts):
-            forest = Forest(len(rows))
-            seen: dict[int, int] = {}
-            for k, r in enumerate(rows.tolist()):
-                forest.union(seen.setdefault(int(known[r]), k), k)
-            if len({forest.find(k) for k in range(len(rows))}) == 1:
+            of = dict(zip(docs[rows].tolist(), index[rows].tolist(), strict=True))
+            if len({joined.find(i) for i in of.values()}) < 2:
                 continue
-            for i, j in connect([values[at[r] : at[r + 1]] for r in rows], forest, sizes):
-                a.append(docs[rows[i]])
-                b.append(docs[rows[j]])
+            held = [(len(s), d, k) for d in of for k, s in enumerate(sets.get(d, []))]
+            held.sort()
+            forest, seen = Forest(len(held)), {}
+            for k, (_, d, _) in enumerate(held):
+                forest.union(seen.setdefault(joined.find(of[d]), k), k)
+            chosen = [sets[d][k] for _, d, k in held]
+            for i, j in connect(chosen, forest, sizes, [(d, k) for _, d, k in held], compared):
+                joined.union(of[held[i][1]], of[held[j][1]])
+                out.append((held[i][1], held[j][1]))
+        a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -341,11 +392,17 @@ def _leaf(cluster: Column, size_class: Column, salt: Column) -> Column:
     return F.xxhash64(cluster, size_class, salt)
 
 
+def _bin(key: str) -> Column:
+    return F.xxhash64(key, F.lit(1))
+
+
 def _links_of(rows: DataFrame, percent: int) -> DataFrame:
-    """Links among ``rows(pair, doc, known, members)`` within each pair."""
+    """Links among ``rows(bin, pair, doc, known, members)`` within each pair."""
     blocks = block_count(rows)
-    grouped = rows.withColumn("bin", F.pmod(F.xxhash64("pair"), F.lit(blocks))).groupBy("bin")
-    return grouped.applyInArrow(_tree_links(percent), LINKS)
+    grouped = rows.withColumn("bin", F.pmod(F.col("bin"), F.lit(blocks)))
+    grouped = grouped.select("bin", "pair", "doc", "known", "members").groupBy("bin")
+    tree = _tree_links(percent)
+    return grouped.applyInArrow(lambda t: tree(t.drop(["bin"])), LINKS)
 
 
 def _members(rows: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -450,41 +507,79 @@ def _tree_stage(members: DataFrame, percent: int) -> DataFrame:
         "doc",
         F.col("doc").alias("known"),
         "members",
-    )
+    ).withColumn("bin", _bin("pair"))
     first = written(_links_of(spread, percent), "links")
     more = _remaining(salted, first, percent)
     return first if more is None else first.union(more)
 
 
+def _keys_of(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, doc, known): the segments of ``rows(doc, known, members)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(percent)
+        for batch in batches:
+            lists = batch.column(2)
+            counts = np.diff(lists.offsets.to_numpy())
+            hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            text = np.repeat(np.arange(len(counts)), counts)
+            keys, owner = segment_keys(hashes, text, counts, sizes)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
+                ["key", "doc", "known"],
+            )
+
+    return rows.select("doc", "known", "members").mapInArrow(run, "key long, doc long, known long")
+
+
 def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
-    """Links of the leaf pairs that have not met and in which components are apart."""
+    """Links in the candidate groups of several leaves, segment by segment.
+
+    Documents that link have a segment in common, so it is enough that the holders of each
+    segment meet, and only of segments whose holders are not all connected by now. Segments with
+    the same holders count once. Holders beyond the size of a leaf are cut into leaves, of which
+    those pairs meet in which components are apart.
+    """
     wide = written(salted.where("salts > 1").select("cluster").distinct(), "wide_clusters")
     if wide.isEmpty():
         return None
     known = components(first).select(F.col("id").alias("doc"), "component")
-    rows = salted.join(wide, "cluster", "left_semi").join(known, "doc", "left").select(
-        "cluster", "size_class", "salt", "doc", "members", F.coalesce("component", "doc").alias("known")
-    )
-    rows = written(rows, "wide")
-    leaves = rows.groupBy("cluster", "size_class", "salt").agg(
-        F.min("known").alias("low"), F.max("known").alias("high")
+    rows = salted.join(wide, "cluster", "left_semi").join(known, "doc", "left")
+    rows = written(rows.select("doc", "members", F.coalesce("component", "doc").alias("known")), "wide")
+    keys = written(_keys_of(rows, percent), "wide_keys")
+    holders = keys.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("doc")).alias("who"),
+        F.min("doc").alias("lead"),
+        F.min("known").alias("low"),
+        F.max("known").alias("high"),
     )
+    open_keys = holders.where("low < high").groupBy("who", "n", "lead").agg(F.min("key").alias("key"))
+    salts = F.ceil(F.col("n") / LEAF).cast("int")
+    open_keys = written(open_keys.select("key", "lead", salts.alias("salts")), "open_keys")
+    salt = F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt")
+    placed = keys.join(open_keys, "key").select("key", "lead", "salts", "doc", "known", salt)
+    placed = written(placed, "placed")
+    leaves = placed.groupBy("key", "salt").agg(F.min("known").alias("low"), F.max("known").alias("high"))
     leaves = written(leaves, "leaves")
     left, right = leaves.alias("l"), leaves.alias("r")
-    step = F.col("r.size_class") - F.col("l.size_class")
-    apart = (F.least("l.low", "r.low") < F.greatest("l.high", "r.high")) & (
-        ((step == 0) & (F.col("r.salt") > F.col("l.salt") + 1))
-        | ((step == 1) & ((F.col("r.salt") > 0) | (F.col("l.salt") > 0)))
-    )
+    apart = F.least("l.low", "r.low") < F.greatest("l.high", "r.high")
     # Leaves, not documents: one row per LEAF of them, and only where something is left to join.
-    pairs = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & apart).select(
-        F.col("l.cluster").alias("cluster"),
-        F.array(
-            F.struct(F.col("l.size_class").alias("size_class"), F.col("l.salt").alias("salt")),
-            F.struct(F.col("r.size_class").alias("size_class"), F.col("r.salt").alias("salt")),
-        ).alias("two"),
-        F.xxhash64("l.cluster", "l.size_class", "l.salt", "r.size_class", "r.salt").alias("pair"),
+    pairs = left.join(
+        right, (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") <= F.col("r.salt")) & apart
+    ).select(
+        F.col("l.key").alias("key"),
+        F.explode(F.array_distinct(F.array("l.salt", "r.salt"))).alias("salt"),
+        F.xxhash64("l.key", "l.salt", "r.salt").alias("pair"),
+    )
+    met = placed.join(written(pairs, "leaf_pairs"), ["key", "salt"])
+    # Keys of one leaf with the same first holder go together: they have most holders in common.
+    where = F.when(F.col("salts") == 1, _bin("lead")).otherwise(_bin("pair"))
+    met = written(met.select(F.pmod(where, F.lit(block_count(rows))).alias("bin"), "pair", "doc", "known"), "met")
+    sets = met.select("bin", "doc").distinct().join(rows.select("doc", "members"), "doc")
+    nothing = F.lit(None)
+    spread = met.withColumn("members", nothing.cast("array<long>")).unionByName(
+        sets.select("bin", nothing.cast("long").alias("pair"), "doc", nothing.cast("long").alias("known"), "members")
     )
-    sides = pairs.select("cluster", "pair", F.inline("two"))
-    spread = rows.join(sides, ["cluster", "size_class", "salt"])
-    return written(_links_of(spread.select("pair", "doc", "known", "members"), percent), "links")
+    return written(_links_of(spread, percent), "links")
