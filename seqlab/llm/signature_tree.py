@@ -196,20 +196,29 @@ def _segment_rows(n_words: int, percent: int, blocks: int) -> Callable:
                 continue
             ids = piece.column(0).to_numpy().astype(np.int64)
             order, first, run_of = first_of(keys)
-            sent = order[first]
+            sent = np.sort(order[first])  # in the order of the texts, so that ids pack well
             block = (keys[sent] % np.uint64(blocks)).astype(np.int64)
-            columns = [(keys[sent].view(np.int64), pa.int64()), (ids[text[sent]], pa.int64())]
+            high = (keys[sent] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            low = (keys[sent] >> np.uint64(16)).astype(np.uint16).view(np.int16)
+            columns = [(high, pa.int32()), (low, pa.int16()), (ids[text[sent]], pa.int64())]
             yield pa.RecordBatch.from_arrays(by_block(block, columns), names)
             # Equal segments within the slice: a forest of candidate edges, past the blocks.
             a, b = _forest(ids[text[order]], run_of)
             if len(a):
-                columns = [(a, pa.int64()), (b, pa.int64())]
-                yield pa.RecordBatch.from_arrays(by_block(-1 - a % blocks, columns), names)
+                block, nothing = np.repeat(-1 - a % blocks, 2), np.zeros(2 * len(a), np.int16)
+                ends = np.stack([a, b], axis=1).ravel()
+                columns = [(nothing, pa.int32()), (nothing, pa.int16()), (ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(by_block(block, columns), names)
 
-    names = ["block", "key", "doc"]
+    names = ["block", "high", "low", "doc"]
     return run
 
 
+#: Segments as blocks get them: 48 bits of the key, of which the block says some more. Unequal
+#: segments that agree in these make a candidate that the trees refuse.
+SEGMENTS = "block int, high array<int>, low array<short>, doc array<long>"
+
+
 def _forest(doc: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the documents of each run as the run does, without circles.
 
@@ -231,10 +240,11 @@ def _forest(doc: np.ndarray, run_of: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _candidate_edges(table: pa.Table) -> pa.Table:
-    key, doc = flat(table, "key"), flat(table, "doc")
+    doc = flat(table, "doc")
     if table.column("block")[0].as_py() < 0:
-        a, b = key, doc
+        a, b = doc[::2], doc[1::2]
     else:
+        key = flat(table, "high").astype(np.int64) * (1 << 16) + flat(table, "low")
         order, _, run_of = first_of(key)
         a, b = _forest(doc[order], run_of)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -446,10 +456,7 @@ def similar(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     filled = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "classes")
     texts = rows.where("doc_id IS NOT NULL")
-    segments = texts.mapInArrow(
-        _segment_rows(n_words, percent, block_count(docs)),
-        "block int, key array<long>, doc array<long>",
-    )
+    segments = texts.mapInArrow(_segment_rows(n_words, percent, block_count(docs)), SEGMENTS)
     edges = segments.groupBy("block").applyInArrow(_candidate_edges, LINKS)
     clusters = components(written(edges, "candidates")).select(
         F.col("id").alias("doc_id"), F.col("component").alias("cluster")
