@@ -200,7 +200,8 @@ def window_batches(
 ) -> Iterator[pa.RecordBatch]:
     """Rows for the blocks of the reference: of equal windows here only the earliest.
 
-    The later ones are copies for certain; negative blocks carry them past the reference.
+    The later ones are copies for certain; negative blocks, dealt by document, carry them past the
+    reference.
     """
     order = np.lexsort((place, doc, one))
     fresh = np.ones(len(order), bool)
@@ -208,7 +209,7 @@ def window_batches(
     late = np.zeros(len(order), bool)
     late[order[~fresh]] = True
     block = (seed % np.uint64(blocks)).astype(np.int64)
-    block = np.where(late, -1 - block, block)
+    block = np.where(late, -1 - doc % blocks, block)
     check = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
     columns = [
         (one.view(np.int64), pa.int64()),
