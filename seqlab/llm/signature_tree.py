@@ -205,7 +205,7 @@ def _segment_rows(n_words: int, percent: int, blocks: int) -> Callable:
             # Equal segments within the slice: a forest of candidate edges, past the blocks.
             a, b = _forest(ids[text[order]], run_of)
             if len(a):
-                block, nothing = np.repeat(-1 - a % blocks, 2), np.zeros(2 * len(a), np.int16)
+                block, nothing = np.repeat(-1 - b % blocks, 2), np.zeros(2 * len(a), np.int16)
                 ends = np.stack([a, b], axis=1).ravel()
                 columns = [(nothing, pa.int32()), (nothing, pa.int16()), (ends, pa.int64())]
                 yield pa.RecordBatch.from_arrays(by_block(block, columns), names)
