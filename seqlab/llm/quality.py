@@ -128,10 +128,28 @@ def _collected(labelled: DataFrame, transform, width: int) -> tuple[np.ndarray,
             lambda batches: _vectors(batches, transform), "doc_id long, label int, vector binary"
         )
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .collect()
+        .select("label", "vector")
+        .toArrow()
     )
-    flat = np.frombuffer(b"".join(bytes(r.vector) for r in rows), "<f4")
-    return flat.reshape(len(rows), width), np.array([r.label for r in rows], np.float64)
+    out = np.empty((len(rows), width), np.float32)
+    k = 0
+    for batch in rows.to_batches():
+        for raw in batch.column(1):
+            out[k] = np.frombuffer(raw.as_buffer(), "<f4")
+            k += 1
+    return out, rows.column("label").to_numpy().astype(np.float64)
+
+
+def _leading_axes(rows: np.ndarray) -> np.ndarray:
+    """Right singular vectors of ``rows`` by the eigenvectors of the small product: one column each.
+
+    Needs two square matrices of the number of rows, a fraction of a full decomposition.
+    """
+    values, vectors = np.linalg.eigh(rows @ rows.T)
+    rank = min(RANK, len(rows))
+    values, vectors = values[::-1][:rank], vectors[:, ::-1][:, :rank]
+    kept = values > 1e-6 * max(float(values[0]), 1e-30)
+    return rows.T @ (vectors[:, kept] / np.sqrt(values[kept]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -165,10 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         empty = np.zeros((0, RANK), np.float32)
         return Model(np.zeros(width), np.ones(width), np.zeros((width, RANK)), empty, np.zeros(0))
     mean, scale = rows.mean(axis=0), rows.std(axis=0) + np.float32(FLOOR)
-    _, _, axes = np.linalg.svd((rows - mean) / scale, full_matrices=False)
-    rank = min(RANK, len(axes))
-    part = Model(mean, scale, np.ascontiguousarray(axes[:rank].T), rows[:0], rows[:0])
-    vectors, known = _collected(sample, lambda r: project(part, r), rank)
+    rows -= mean
+    rows /= scale
+    axes = _leading_axes(rows)
+    part = Model(mean, scale, axes, axes[:0], axes[:0])
+    del rows
+    vectors, known = _collected(sample, lambda r: project(part, r), axes.shape[1])
     return Model(mean, scale, part.axes, vectors, known)
 
 
