@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 # Odd multipliers with their inverses modulo 2**64, one pair for words and one for windows.
@@ -121,7 +121,7 @@ def _powers_up_to(base: int, n: int) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     if n > 2 * SLICE_BYTES:  # one long text: not kept
         return _powers_up_to.__wrapped__(base, n)
-    return _powers_up_to(base, 2 * SLICE_BYTES)[:n]
+    return _powers_up_to(base, 1 << max(16, (n - 1).bit_length()))[:n]
 
 
 def _range_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:

@@ -11,9 +11,9 @@ from seqlab.llm.arrow_text import chunk_bounds, gather, word_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already uses every core
 
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Ids remembered per Python worker; when passed, all are forgotten and encoded anew.
-REMEMBERED = 8_000_000
+REMEMBERED = 4_000_000
 
 
 class ChunkEncoder:

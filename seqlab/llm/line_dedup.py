@@ -3,7 +3,7 @@
 The lines of a text that are not blank are hashed without white space at their ends, and every
 ``window`` consecutive ones make a window. Windows that occur earlier in the corpus are found by
 their hashes, spread over blocks, and the lines that such windows cover are removed. Of windows
-that repeat within a slice of 2 MB only the first goes to a block, so a passage in a third of all
+that repeat within a slice of 1 MB only the first goes to a block, so a passage in a third of all
 documents costs one entry per slice. Texts move once; the rest are hashes of 96 bits.
 """
 

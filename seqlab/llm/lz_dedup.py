@@ -13,7 +13,7 @@ and no text is compared with a block that holds none of them.
    is looked up, also those across the bounds of two factors are checked, and nothing shorter
    than a window passes. Factors cover the words to remove.
 
-A seed or passage that very many texts share costs each slice of 2 MB one entry per block: what
+A seed or passage that very many texts share costs each slice of 1 MB one entry per block: what
 repeats inside a slice is settled there. Texts move once, in one shuffle that all three steps
 read; the rest are hashes. A window counts as equal when 96 bits of two hashes are.
 """
