@@ -2,7 +2,8 @@
 
 Every text is read whole. The base kinds are ``email``, ``ip``, ``card`` and ``phone``; ``iban``
 and ``ssn`` come on top. A card must pass Luhn, an account number mod 97, an address part is at
-most 255 and a phone has 9 to 15 digits: what fails is dropped and not tried again in parts. The
+most 255 and a phone has 9 to 15 digits: what fails is dropped and not tried again in parts. Only
+an account number may end before its run of capitals and digits does, at the end of any group. The
 score is that of the kind, more when a word for it stands close before the span and less when a
 word for something else does; base spans stay whatever their score, others need ``MIN_SCORE``.
 
@@ -43,11 +44,27 @@ _DOTTED = re.compile(r"[0-9][0-9.]*+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+_GROUP_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 _NO_DIGITS = str.maketrans("", "", " ().+-")
 
+#: Characters of an account number by country (ISO 13616); in other countries it has 15 to 34.
+IBAN_LENGTH = {
+    country: int(n)
+    for n, countries in (
+        part.split(":")
+        for part in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+            "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in countries.split(",")
+}
+
 SCHEMA = (
     "doc_id long, spans array<struct<kind: string, start: int, end: int, score: double>>"
 )
@@ -105,10 +122,28 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    last = 0
     for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield m.span()
+        start, stop = m.start(), m.end(1)
+        if start < last:
+            continue
+        # What follows may look like more groups: the country says where to end, else the longest
+        # end that passes counts. A run of another length than the country's must pass as a whole.
+        ends = {}
+        for g in _GROUP_END.finditer(text, m.end()):
+            if g.end() > stop:
+                break
+            account = text[start : g.end()].replace(" ", "")
+            if len(account) >= 15:
+                ends[len(account)] = (g.end(), account)
+        lengths = sorted(ends, reverse=True)
+        if own := IBAN_LENGTH.get(text[start : start + 2]):
+            lengths = [n for n in dict.fromkeys((own, *lengths[:1])) if n in ends]
+        for n in lengths:
+            if mod97(ends[n][1]):
+                last = ends[n][0]
+                yield start, last
+                break
 
 
 def _ssns(text: str) -> Iterator[tuple[int, int]]:

@@ -48,6 +48,19 @@ def test_checks_and_context():
     assert card == ("card", 6, 25, 0.5)
 
 
+def test_account_number_before_more_groups():
+    for account in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "XX57123456789012345"):
+        assert pii.mod97(account.replace(" ", ""))
+        for after in ("", " Please pay", " BIC COBADEFF", " 2024-01-01", " 1234", " EUR 500", " IBAN", ", x", " A é", " 7 " * 40):
+            for before in ("", "IBAN ", "AB12 ", "Konto: "):
+                spans = [s[:3] for s in pii.spans_of(before + account + after) if s[0] == "iban"]
+                assert spans == [("iban", len(before), len(before + account))], before + account + after
+    assert pii.spans_of("DE88370400440532013000 Please pay") == []
+    two = "DE89370400440532013000 DE89370400440532013000"
+    assert [s[1:3] for s in pii.spans_of(two) if s[0] == "iban"] == [(0, 22), (23, 45)]
+    assert [s for s in pii.spans_of("AA11 " * 60_000 + "AA11" + "A" * 300_000) if s[0] != "iban"] == []
+
+
 def test_linear_on_long_runs():
     assert pii.spans_of("a" * 300_000 + "@" * 1000 + "1" * 300_000 + "+1" + "(" * 300_000) == []
 
