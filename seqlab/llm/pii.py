@@ -4,8 +4,8 @@ Every text is read whole. The base kinds are ``email``, ``ip``, ``card`` and ``p
 and ``ssn`` come on top. A card must pass Luhn, an account number mod 97, an address part is at
 most 255 and a phone has 9 to 15 digits: what fails is dropped and not tried again in parts. Only
 an account number may end before its run of capitals and digits does, at the end of any group. The
-score is that of the kind, more when a word for it stands close before the span and less when a
-word for something else does; base spans stay whatever their score, others need ``MIN_SCORE``.
+score is that of the kind, more when a word for it stands close before or after the span and less
+when a word for something else does; base spans stay whatever their score, others need ``MIN_SCORE``.
 
 The patterns below are cut so that each text is passed in linear time, whatever it holds: an
 address is found from its ``@``, and digits that cannot start a span are never tried twice.
@@ -164,8 +164,9 @@ _FINDERS = {
 }
 
 
-def _score(kind: str, text: str, start: int) -> float:
-    words = [w.lower() for w in _WORD.findall(text[max(0, start - CONTEXT) : start])]
+def _score(kind: str, text: str, start: int, end: int) -> float:
+    sides = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    words = [w.lower() for side in sides for w in _WORD.findall(side)]
     score = SCORE[kind]
     if any(w.startswith(NEAR[kind]) for w in words):
         score += 0.3
@@ -182,7 +183,7 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
         if needed not in text:
             continue
         for start, end in finder(text):
-            score = _score(kind, text, start)
+            score = _score(kind, text, start, end)
             if kind in BASE or score >= MIN_SCORE:
                 out.append((kind, start, end, score))
     return out

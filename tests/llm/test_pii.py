@@ -48,6 +48,15 @@ def test_checks_and_context():
     assert card == ("card", 6, 25, 0.5)
 
 
+def test_context_after_the_span():
+    for text in ("123-45-6789 (SSN)", "123-45-6789 is my social security number", "ssn 123-45-6789"):
+        ((kind, start, end, score),) = pii.spans_of(text)
+        assert (kind, text[start:end], score) == ("ssn", "123-45-6789", 0.7)
+    assert pii.spans_of("123-45-6789 (SSN), order 7") == []
+    assert pii.spans_of("123-45-6789" + " -" * 24 + " ssn") == []
+    assert pii.spans_of("10.0.0.1 is the version") == [("ip", 0, 8, 0.3)]
+
+
 def test_account_number_before_more_groups():
     for account in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "XX57123456789012345"):
         assert pii.mod97(account.replace(" ", ""))
