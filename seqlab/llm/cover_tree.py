@@ -216,13 +216,17 @@ def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _meet(k: int) -> Callable[[pa.Table], pa.Table]:
-    """A data block and query blocks: of every query the k best rows of the block."""
+    """A data block and query blocks: of every query the k best ids of the block.
+
+    Repeated rows of an id stand together in a block and must not take the place of other ids.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         first = rows[0]
         data = np.array(first["points"]).reshape(-1, first["dim"])
         ids = np.array(first["ids"])
+        repeated = len(np.unique(ids)) < len(ids)
         tree = CoverTree(data)
         out: list[tuple[int, int, int]] = []
         for r in rows:
@@ -232,10 +236,14 @@ def _meet(k: int) -> Callable[[pa.Table], pa.Table]:
                 scores = _scores(points[q_rows], data[d_rows])
                 for i, q in enumerate(q_rows.tolist()):
                     ok = ids[d_rows] != q_ids[q]
-                    best = np.lexsort((ids[d_rows][ok], -scores[i][ok]))[:k]
+                    found, score = ids[d_rows][ok], scores[i][ok]
+                    best = np.lexsort((found, -score))
+                    if repeated:
+                        best = best[np.sort(np.unique(found[best], return_index=True)[1])]
+                    best = best[:k]
                     out += [
                         (int(q_ids[q]), int(v), int(s))
-                        for v, s in zip(ids[d_rows][ok][best], scores[i][ok][best], strict=True)
+                        for v, s in zip(found[best], score[best], strict=True)
                     ]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])

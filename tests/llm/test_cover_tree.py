@@ -49,5 +49,17 @@ def test_brute_force(spark, monkeypatch, data_block, query_block):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("copies,data_block,query_block", [(2, 16, 4), (7, 16, 4), (2, 512, 128)])
+def test_repeated_rows(spark, monkeypatch, copies, data_block, query_block):
+    """Every row several times over, and ids with several vectors."""
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", data_block)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", query_block)
+    rng = np.random.default_rng(copies)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k % 150, [float(c) for c in centres[k % 6] + rng.normal(size=8) * 0.1], "x") for k in range(200)]
+    docs = spark.createDataFrame(rows * copies, SCHEMA)
+    assert sorted(tuple(r) for r in cover_tree.top_k(docs).collect()) == brute(rows)
+
+
 def test_empty(spark):
     assert cover_tree.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
