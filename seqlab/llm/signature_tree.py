@@ -554,7 +554,11 @@ def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame |
     known = components(first).select(F.col("id").alias("doc"), "component")
     rows = salted.join(wide, "cluster", "left_semi").join(known, "doc", "left")
     rows = written(rows.select("doc", "members", F.coalesce("component", "doc").alias("known")), "wide")
-    keys = written(_keys_of(rows, percent), "wide_keys")
+    keys = _keys_of(rows, percent)
+    # A document with several rows holds a segment once, or it would drop out of ``who``.
+    if not rows.groupBy("doc").count().where("count > 1").isEmpty():
+        keys = keys.distinct()
+    keys = written(keys, "wide_keys")
     holders = keys.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("doc")).alias("who"),

@@ -60,6 +60,32 @@ def test_brute_force(spark, monkeypatch, n, percent):
     assert got == brute(rows, n, percent)
 
 
+def test_whole_table_doubled(spark, monkeypatch):
+    """Each text links with its two halves, which share no segment; every row stands twice."""
+    rows = []
+    for g in range(20):
+        words = [f"g{g}w{k}" for k in range(40)]
+        rows += enumerate((" ".join(w) for w in (words, words[:20], words[20:])), 3 * g)
+    monkeypatch.setattr(signature_tree, "LEAF", 1)
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = sorted((tuple(r) for r in signature_tree.similar(docs, 1, 50).collect()), key=repr)
+    assert got == brute(rows * 2, 1, 50)
+
+
+def test_repeated_rows_do_not_hide_holders(spark, monkeypatch):
+    """Segments held by {1, 2} and by {1, 3}, every row twice: both stay."""
+    sets = {1: list(range(40)), 2: list(range(20)), 3: list(range(20, 40))}
+    salted = spark.createDataFrame(
+        [(d, 9, 2, s) for d, s in sets.items()] * 2, "doc long, cluster long, salts int, members array<long>"
+    )
+    held = [(5, 1, 1), (5, 2, 2), (6, 1, 1), (6, 3, 3)] * 2
+    keys = spark.createDataFrame(held, "key long, doc long, known long")
+    monkeypatch.setattr(signature_tree, "_keys_of", lambda rows, percent: keys)
+    first = spark.createDataFrame([], "a long, b long")
+    found = signature_tree._remaining(salted, first, 50).collect()
+    assert {(min(r), max(r)) for r in found if r.a != r.b} == {(1, 2), (1, 3)}
+
+
 def test_document_with_several_texts(spark):
     a = " ".join(f"a{k}" for k in range(60))
     b = " ".join(f"b{k}" for k in range(60))
