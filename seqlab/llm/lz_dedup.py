@@ -1,14 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all texts.
+"""Substring dedup by windows that occur earlier, in place of relative Lempel-Ziv parsing.
 
-A text is parsed into factors that also occur earlier in the corpus: greedily, each factor as
-long as the index knows it. The index is cut into reference blocks by *seeds*. A seed is the
+Words go when a window of theirs occurs earlier in the corpus. No factor is parsed: there is no
+greedy longest match and no source of a factor, and a run of copied windows, called a factor below,
+may come from several sources. The index is cut into reference blocks by *seeds*. A seed is the
 ``SEED`` consecutive words whose hash is the smallest in a window of ``window`` words; equal
 windows have equal seeds, so whatever a factor can be copied from lies in the block of its seeds,
 and no text is compared with a block that holds none of them.
 
 1. Every text names its seeds. Blocks of seeds report those that occur more than once.
 2. Only around those seeds do texts send the windows to the blocks of the reference. A block
-   sorts its windows and gives each the earliest place that it was copied from, if any.
+   sorts its windows and marks those that occur earlier.
 3. Consecutive copied windows join to factors of at least ``window`` words. Because every window
    is looked up, also those across the bounds of two factors are checked, and nothing shorter
    than a window passes. Factors cover the words to remove.
