@@ -1,7 +1,9 @@
 """n-gram Jaccard join with signature trees.
 
 Documents are sets of hashed word shingles; two link when the intersection is at least a share
-of the union. No link is lost and no group is spelled out in pairs:
+of the union. The result is the components of the links: links are neither listed nor counted, and
+pairs that are connected already are not compared. No link between components is lost and no group is
+spelled out in pairs:
 
 1. Equal sets are one class, named by its smallest document.
 2. *Routing.* Sizes fall into classes so wide that only sets of the same or neighbouring classes
