@@ -16,9 +16,12 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
-# Odd multipliers with their inverses modulo 2**64, one pair for words and one for windows.
-_WORD = 0x9E3779B97F4A7C15
-_WINDOW = 0xD6E8FEB86659FD93
+# Odd multipliers for the place of a byte and for the first of two joined hashes.
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes hashed at a time, and places whose scattered numbers are kept.
+BLOCK = 1 << 16
+NEAR = 128
 
 
 def slices(
@@ -107,48 +110,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_codes(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 0x1234567))
+def _key(seed: int) -> np.uint64:
+    return mix(np.array([2 * seed + 0x1234567], np.uint64))[0]
 
 
-@lru_cache(maxsize=16)
-def _powers_up_to(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _scattered(place: np.ndarray, symbol: np.ndarray, seed: int) -> np.ndarray:
+    return mix(place.astype(np.uint64) * _PLACE + symbol.astype(np.uint64) + np.uint64(1) + _key(seed))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    if n > 2 * SLICE_BYTES:  # one long text: not kept
-        return _powers_up_to.__wrapped__(base, n)
-    return _powers_up_to(base, 1 << max(16, (n - 1).bit_length()))[:n]
+@lru_cache(maxsize=8)
+def _near(seed: int) -> np.ndarray:
+    """The scattered numbers of the first ``NEAR`` places."""
+    place, symbol = np.divmod(np.arange(NEAR * 256), 256)
+    return _scattered(place, symbol, seed)
 
 
-def _range_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of codes[start:end] for each pair, the same wherever the range lies."""
-    n = len(codes)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * _powers(base, n), dtype=np.uint64, out=total[1:])
-    back = _powers(pow(base, -1, 1 << 64), n + 1)
-    return (total[ends] - total[starts]) * back[starts]
+def _symbol_sums(data: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
+    """Running sums of one scattered number per (byte, place in its range), block by block."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    near = _near(seed)
+    for low in range(0, len(data), BLOCK):
+        block = data[low : low + BLOCK]
+        first, last = np.searchsorted(starts, [low, low + len(block)])
+        base = np.full(len(block), -low, np.int64)
+        base[starts[first:last] - low] = starts[first:last] - low
+        if first and (first == last or starts[first] > low):  # a range that began before
+            base[0] = starts[first - 1] - low
+        np.maximum.accumulate(base, out=base)
+        place = np.arange(len(block)) - base
+        here = near[(np.minimum(place, NEAR - 1) << 8) + block]
+        far = np.flatnonzero(place >= NEAR)
+        if len(far):
+            here[far] = _scattered(place[far], block[far], seed)
+        total[low + 1 : low + 1 + len(block)] = here
+    return np.cumsum(total, out=total)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal ranges have equal hashes."""
+    """A 64-bit hash of each of many byte ranges, given in order and apart from each other.
+
+    Every byte is scattered together with its place in the range before anything is summed, so
+    that no pattern of symbols cancels out. Equal ranges have equal hashes; different seeds give
+    independent ones.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    codes = _byte_codes(seed)[data]
+    total = _symbol_sums(data, starts, seed)
     lengths = (ends - starts).astype(np.uint64)
-    return mix(_range_hash(codes, starts, ends, _WORD) + lengths * np.uint64(0xA24BAED4963EE407))
+    return mix(total[ends] - total[starts] + lengths * np.uint64(0xA24BAED4963EE407))
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hashes of every ``size`` consecutive words: ``len(words) - size + 1`` numbers."""
+    """Hashes of every ``size`` consecutive words: ``len(words) - size + 1`` numbers.
+
+    Hashes of 1, 2, 4, ... words are joined pair by pair, scattered again at each step.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    return mix(_range_hash(words, starts, starts + size, _WINDOW + 2 * seed) + np.uint64(size))
+    run, span, out, done = mix(words ^ _key(seed)), 1, None, 0
+    while True:
+        if size & span:
+            part = run[done : done + n]
+            out = part if out is None else mix(out * _JOIN + part)
+            done += span
+        if done == size:
+            return mix(out + np.uint64(size))
+        run = mix(run[:-span] * _JOIN + run[span:])
+        span *= 2
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
