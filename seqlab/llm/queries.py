@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.llm import byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, mixing, pii, quality, signature_tree, token_files
+from seqlab.llm import (
+    byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, mixing, pii, quality, sharding, signature_tree, token_files,
+)
 from seqlab.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +225,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labelled_languages(docs, table(spark, sf_dir, "labels"))
     rates = mixing.mix(docs, labelled, TARGETS)
     return rates.withColumn("rate", F.round("rate", 5) + F.lit(0.0))
+
+
+@query("op13_sharding")
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shards(docs).select(
+        "doc.doc_id",
+        "size",
+        F.crc32(F.coalesce("doc.text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
