@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlab.llm import (
-    byte_bpe, cover_tree, grid_join, line_dedup, lz_dedup, mixing, pii, quality, sharding, signature_tree, token_files,
+    byte_bpe, collocations, cover_tree, grid_join, line_dedup, lz_dedup, mixing, pii, quality, sharding, signature_tree,
+    spelling, token_files,
 )
 from seqlab.session import work_path
 
@@ -227,6 +228,103 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("rate", F.round("rate", 5) + F.lit(0.0))
 
 
+OP11_SQL = r"""
+WITH cut AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), pieces AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM cut
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), starts AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)
+), counts AS (
+    SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL
+), candidates AS (
+    SELECT lang, k, phrase, n AS a FROM counts WHERE k > 1 AND n >= 100
+), kept AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+        AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+    SELECT c.*, t.n, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') AS one, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS two
+    FROM kept c JOIN totals t USING (lang), (SELECT unnest(range(1, 5)) AS j) WHERE j < k
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.n, c.j, x.n AS l, y.n AS r, ((1000::HUGEINT * c.a * c.n) // (x.n::HUGEINT * y.n))::BIGINT AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.one JOIN counts y ON y.lang = c.lang AND y.phrase = c.two
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=5, at_least=100, first=2000)
+
+
+def _crc_table() -> str:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ 0xEDB88320 if x & 1 else x >> 1
+        out.append(str(x))
+    return ", ".join(out)
+
+
+# DuckDB's levenshtein compares bytes, so letters of two bytes get one that no word here holds.
+_ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+_STAND_INS = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'\\")[: len(_ACCENTED)]
+
+
+def _op12_sql() -> str:
+    value = "coalesce(doc_id::VARCHAR, '') || ':' || run"
+    return rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), per_doc AS (
+    SELECT doc_id, run, count(*) AS n, hex(encode({value})) AS h FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, ([{_crc_table()}]::BIGINT[])[1 + xor(c & 255, b)])), 4294967295::BIGINT) AS crc FROM per_doc
+), spelled AS (
+    SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+), words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), keyed AS MATERIALIZED (
+    SELECT word, n, length(word) AS size, translate(word, '{_ACCENTED}', '{_STAND_INS}') AS key FROM words
+), near AS MATERIALIZED (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n
+    FROM keyed a JOIN (SELECT *, unnest([size - 1, size, size + 1]) AS other FROM keyed) b
+    ON a.size = b.other AND levenshtein(a.key, b.key) = 1
+), best AS (
+    SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near
+    FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), forms AS MATERIALIZED (
+    SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * words.n THEN near END AS form,
+           CASE WHEN near_n >= 2 * words.n THEN near_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), way AS (
+    SELECT word, word AS root, 0 AS step FROM forms
+    UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN forms f ON f.word = way.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, n, n_near, form, form_n, w.root FROM forms f
+JOIN (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word) w USING (word)
+"""
+
+
+@query("op12_spelling", _op12_sql())
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.words(table(spark, sf_dir, "documents")))
+
+
 @query("op13_sharding")
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

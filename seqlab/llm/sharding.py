@@ -161,7 +161,7 @@ def _part_tables(spark, cuts: list[Cut], shards: int, each: int) -> tuple[DataFr
     )
 
 
-def shards(docs: DataFrame, n: int = 16, tolerance: float = 0.01, part_bytes: int = 32 << 20) -> DataFrame:
+def shards(docs: DataFrame, n: int = 16, tolerance: float = 0.01, part_bytes: int = 8 << 20) -> DataFrame:
     """Deal documents to shards 0 to n - 1 of near-equal bytes: shard, slot, size, ``doc``.
 
     ``size`` is the UTF-8 bytes of the text and one more. Every splitter is within ``tolerance``
