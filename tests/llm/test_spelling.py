@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from seqlab.llm import spelling
@@ -65,17 +66,16 @@ def vocabulary(rng, n, letters, low=5, high=12):
     return {w: int(3 + rng.paretovariate(0.7)) for w in words}
 
 
-@pytest.mark.parametrize("letters,meet", [("abcdefghijé", 4096), ("abé", 4096), ("ab", 3), ("abcdé", 1)])
-def test_groups_by_brute_force(spark, monkeypatch, letters, meet):
-    """With a small ``MEET`` crowded chunks are cut down to single letters."""
-    monkeypatch.setattr(spelling, "MEET", meet)
-    words = vocabulary(random.Random(len(letters)), 300, letters, 1 if meet == 1 else 5)
+@pytest.mark.parametrize("letters,each", [("abcdefghijé", 4), ("abé", 1000), ("ab", 1), ("abcdé", 0)])
+def test_groups_by_brute_force(spark, monkeypatch, letters, each):
+    """Where few pairs may meet, crowded chunks are cut down to single letters."""
+    monkeypatch.setattr(spelling, "PAIRS_EACH", each)
+    words = vocabulary(random.Random(len(letters)), 300, letters, 5 if each else 1)
     assert grouped(spark, words) == brute_groups(words)
 
 
-def test_a_common_beginning(spark, monkeypatch):
+def test_a_common_beginning(spark):
     """Many words that differ at one end only: none is lost, and no chunk brings all of them together."""
-    monkeypatch.setattr(spelling, "MEET", 64)
     rng = random.Random(4)
     words = {"somelongbeginning" + "".join(rng.choice("abcdefgh") for _ in range(4)): 3 + k % 50 for k in range(700)}
     assert grouped(spark, words) == brute_groups(words)
@@ -103,3 +103,11 @@ def test_words_of_documents(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert got(spelling.group(spelling.words(docs))) == []
+
+
+def test_checksums_put_together():
+    rng = random.Random(1)
+    pairs = [(bytes(rng.randrange(256) for _ in range(rng.randint(0, 9))), bytes(rng.randrange(256) for _ in range(k))) for k in range(spelling.TABLED + 1)]
+    first, second = (np.array([zlib.crc32(x) for x in side], np.uint32) for side in zip(*pairs))
+    got = spelling.joined_crc(first, second, np.array([len(b) for _, b in pairs]))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in pairs]
