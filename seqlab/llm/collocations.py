@@ -36,6 +36,8 @@ BITS = 24
 #: Word occurrences whose phrases one prefix partition holds at most.
 PART_WORDS = 1 << 19
 UNKNOWN_LANG = "und"
+#: Slices of a language that are ranked apart before their first rows meet.
+SLICES = 64
 
 # 1 ends a piece, 2 a word.
 _ENDS = np.zeros(256, np.uint8)
@@ -216,6 +218,11 @@ def collocations(docs: DataFrame, longest: int = 5, at_least: int = 100, first:
     cuts = cuts.withColumn("score", F.expr("top div bottom"))
     best = cuts.groupBy("lang", "phrase", "ids", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     best = best.select("lang", "phrase", "a", "n", "cut.score", "cut.l", "cut.r")
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # First within slices of a language, so that a language with most of the phrases is not one task's.
+    salted = best.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    near = salted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "slice").orderBy(*order)))
+    near = near.where(F.col("rank") <= first).drop("rank", "slice")
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+    ranked = ranked.where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
