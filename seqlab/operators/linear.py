@@ -25,7 +25,7 @@ from seqlab.operators.scale import checked_small, lookup
 from seqlab.session import written
 from seqlab.sources.corpora import KEY, TOKEN, pack
 
-# Weights that pass through the driver in the built-in trainer.
+# Weights that may pass through the driver in the built-in trainer.
 MAX_DRIVER_WEIGHTS = 20_000_000
 HISTORY = ("prev_tag=", "prevprev_tag=", "tag_bigram=")
 
@@ -69,13 +69,16 @@ def count_weights(rows: DataFrame, tags: list[str]) -> LinearModel:
 def scores(rows: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
     """Bias plus the weight rows of the active features, as ``z array<double>`` per token.
 
-    ``keep`` are columns fixed by the token. Unknown features add nothing.
+    Tokens with the same features are scored once; ``rows`` is read twice. Unknown features add nothing.
     """
     k = len(model.tags)
-    each = rows.select(*keep, F.explode("features").alias("feature"))
+    contexts = rows.select("features").distinct().withColumn("_ctx", F.monotonically_increasing_id())
+    contexts = written(contexts, "contexts")
+    each = contexts.select("_ctx", F.explode_outer("features").alias("feature"))
     found = lookup(each, model.weights.select("feature", "w"), ["feature"])
     z = cells(lambda i: F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + F.lit(model.bias[i]), k)
-    return found.groupBy(*keep).agg(z.alias("z"))
+    scored = contexts.join(found.groupBy("_ctx").agg(z.alias("z")), "_ctx").select("features", "z")
+    return rows.join(scored, "features").select(*keep, "z")
 
 
 def predict_proba(rows: DataFrame, model: LinearModel, keep: list[str] | None = None) -> DataFrame:
@@ -242,10 +245,15 @@ def train_softmax(
 ) -> LinearModel:
     """Multinomial logistic regression on hard or soft targets (``target`` per class).
 
-    A soft row becomes one weighted row per class. L2 applies to weights only. The vocabulary
-    and the weights pass through the driver and are size-checked.
+    A soft row becomes one weighted row per class. L2 applies to weights only. Where the vocabulary
+    and the weights are few enough they pass through the driver; beyond that training stays in tables,
+    see :func:`training.lbfgs`.
     """
     k = len(tags)
+    if vocab.limit(MAX_DRIVER_WEIGHTS // k + 1).count() > MAX_DRIVER_WEIGHTS // k:
+        from seqlab.operators import training
+
+        return training.lbfgs(rows, tags, reg, max_steps=max_iter, vocab=vocab).model
     names = checked_small(vocab.select("feature", "idx"), MAX_DRIVER_WEIGHTS // k, "feature vocabulary")
     order = [r.feature for r in sorted(names, key=lambda r: r.idx)]
     vectorizer = CountVectorizerModel.from_vocabulary(order, "features", "vector", binary=True)

@@ -109,6 +109,66 @@ def number_rows(
     return counted.withColumn(out, F.col(out) - 1)
 
 
+#: Cells of one round of :func:`first_rows`, and rows among which it ranks.
+CELLS = 1024
+FEW = 100_000
+
+
+def first_rows(df: DataFrame, order: list[str], n: int, key: Column) -> DataFrame:
+    """The first ``n`` rows in ``order``, for any ``n``, without sorting the table or passing one task.
+
+    ``key`` is a number that does not fall along the order. Counts of its values in ``CELLS`` equal
+    cells tell in which cell the n-th row lies; that cell is cut again until few rows are left, or
+    only such as share one value, and only these are ranked. Rows with a null key come first.
+    """
+    keyed = df.withColumn("_key", key.cast("double"))
+    first = keyed.agg(F.count(F.lit(1)), F.count("_key"), F.min("_key"), F.max("_key")).first()
+    total, known, low, high = first
+    if total <= n:
+        return df
+    nulls = keyed.where("_key IS NULL")
+    if n <= total - known:
+        return number_rows(nulls, [], order, None, "_nth").where(F.col("_nth") < n).select(df.columns)
+    before, inside = total - known, known
+    while inside > FEW and low < high:
+        width = (high - low) / CELLS
+        cell = F.least(F.floor((F.col("_key") - low) / width), F.lit(CELLS - 1))
+        rows = keyed.where(F.col("_key").between(low, high)).groupBy(cell.alias("cell"))
+        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r.cell):
+            if before + r.n >= n:
+                low, high, inside = r.low, r.high, r.n
+                break
+            before += r.n
+    sure = keyed.where((F.col("_key") < low) | F.col("_key").isNull())
+    edge = number_rows(keyed.where(F.col("_key").between(low, high)), [], order, None, "_nth")
+    return sure.select(df.columns).union(edge.where(F.col("_nth") < n - before).select(df.columns))
+
+
+def next_at_or_after(points: DataFrame, at: str, marks: DataFrame, mark: str, out: str) -> DataFrame:
+    """Add to each point the smallest mark that is not below ``at`` (null: none).
+
+    Points and marks are cut into ranges together and written once; what later ranges hold comes
+    from a table with one row per range, so no task sees more than its range.
+    """
+    row = F.struct(*[F.col(c) for c in points.columns])
+    asked = points.select(F.col(at).alias("_x"), F.lit(0).alias("_is_mark"), row.alias("_row"))
+    given = marks.where(F.col(mark).isNotNull()).select(
+        F.col(mark).alias("_x"), F.lit(1).alias("_is_mark"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row")
+    )
+    order = [F.desc("_x"), F.desc("_is_mark")]
+    ranges = asked.union(given).repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id())
+    ranges = written(ranges, "ranges")
+    here = F.when(F.col("_is_mark") == 1, F.col("_x"))
+    least = ranges.groupBy("_bucket").agg(F.min(here).alias("_least"))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    above = least.select("_bucket", F.min("_least").over(before).alias("_above"))
+    down = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    found = ranges.withColumn("_here", F.min(here).over(down)).where("_is_mark = 0")
+    joined = found.join(above, "_bucket", "left")
+    return joined.select("_row.*", F.coalesce("_here", "_above").alias(out))
+
+
 def text_bucket(column: str) -> Column:
     """Order-keeping slices of a text column."""
     return F.substring(column, 1, 3)

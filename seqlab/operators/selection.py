@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seqlab.functions.draws import draw_key, hash_bucket
-from seqlab.operators.scale import number_rows, running_sum
-from seqlab.session import written
+from seqlab.operators.scale import first_rows, next_at_or_after, number_rows, running_sum
+from seqlab.session import discard, written
 
 
 def seeded_shuffle(df: DataFrame, keys: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
@@ -21,18 +21,19 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int, by: list[str] | No
 
 
 def random_subset(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
+    """The first ``n`` rows in seeded order, with their ``shuffle_key``."""
     keyed = df.withColumn("shuffle_key", draw_key(seed, *[F.col(k) for k in keys]))
-    return keyed.orderBy("shuffle_key", *keys).limit(n)
+    return first_rows(keyed, ["shuffle_key", *keys], n, F.conv(F.substring("shuffle_key", 1, 13), 16, 10))
 
 
 def first_of_splits(sentences: DataFrame, sizes: dict[str, int], keys: list[str]) -> DataFrame:
-    """The first sentences of each split named in ``sizes``; other splits stay whole."""
-    parts = [sentences.where(~F.col("split").isin(list(sizes)))]
+    """The first sentences of each split named in ``sizes``; other splits stay whole.
+
+    The first of ``keys`` is a number."""
+    out = sentences.where(~F.col("split").isin(list(sizes)) | F.col("split").isNull())
     for split, n in sizes.items():
-        parts.append(sentences.where(F.col("split") == split).orderBy(*keys).limit(n))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = sentences.where(F.col("split") == split)
+        out = out.unionByName(first_rows(part, keys, n, F.col(keys[0])))
     return out
 
 
@@ -50,25 +51,57 @@ def token_budget(df: DataFrame, keys: list[str], seed: int, budget: int, length:
     return summed.where(F.col("upto") - F.col(length) < budget)
 
 
-def budget_batches(df: DataFrame, order: list[str], sizes: list[int], length: str = "len") -> DataFrame:
+def budget_batches(
+    df: DataFrame, order: list[str], sizes: list[int], length: str = "len", then: int | None = None
+) -> DataFrame:
     """Cut sentences, in order, into batches: each takes sentences until its budget is used.
 
-    A batch starts where the one before stopped, so starts depend on the overshoot before
-    them; one small job per batch finds the crossing sentence.
+    ``sizes`` are the budgets of the first batches. With ``then``, batches of that budget follow to the end of the
+    sentences; without, what comes after the last batch is left out. Adds ``upto``, the tokens so far, and ``batch``;
+    the sentence that crosses a budget belongs to it, and the batch at the end may fall short.
+
+    A batch starts where the one before stopped. Every place where one could start gets its successor,
+    the first sentence that crosses the budget from there; the ends are then followed from the first one by
+    pointer doubling: round k adds the 2^k ends that lie 2^k steps after the known ones.
     """
     summed = written(running_sum(df, [], order, None, F.col(length).cast("bigint"), "upto"), "summed")
-    start, spans = 0, []
+    heads, start = [], 0
     for batch, size in enumerate(sizes):
-        end = summed.where(F.col("upto") >= start + size).agg(F.min("upto")).first()[0]
-        spans.append((batch, start, end))
-        if end is None:
+        start = summed.where(F.col("upto") >= start + size).agg(F.min("upto")).first()[0]
+        if start is None:
             break
-        start = end
-    label = F.lit(None).cast("bigint")
-    for batch, lo, hi in reversed(spans):
-        inside = F.col("upto") > lo if hi is None else (F.col("upto") > lo) & (F.col("upto") <= hi)
-        label = F.when(inside, F.lit(batch).cast("bigint")).otherwise(label)
-    return summed.withColumn("batch", label).where("batch IS NOT NULL")
+        heads.append((start, batch))
+    ends = df.sparkSession.createDataFrame(heads, "hi long, batch long")
+    if start is not None and then is not None:
+        ends = ends.union(_following_ends(summed.select("upto").distinct(), start, then, len(heads)))
+    ends = written(ends, "ends")
+    n_ends = ends.count()
+    found = next_at_or_after(summed, "upto", ends, "hi", "hi")
+    if start is not None and then is None:
+        found = found.where("hi IS NOT NULL")
+    return found.join(ends, "hi", "left").select(
+        *summed.columns, F.coalesce("batch", F.lit(n_ends).cast("long")).alias("batch")
+    )
+
+
+def _following_ends(places: DataFrame, start: int, size: int, first: int) -> DataFrame:
+    """(hi, batch) of the ends after ``start``, each ``size`` tokens or more after the one before."""
+    spark = places.sparkSession
+    origin = spark.range(1).select(F.lit(start).cast("long").alias("upto"))
+    points = places.where(F.col("upto") > start).union(origin).withColumn("need", F.col("upto") + size)
+    jump = next_at_or_after(points, "need", places, "upto", "to").where("to IS NOT NULL")
+    jump = written(jump.select(F.col("upto").alias("at"), "to"), "jump")
+    known, steps = written(origin.select(F.col("upto").alias("at"), F.lit(0).cast("long").alias("i")), "known"), 1
+    while True:
+        fresh = written(known.join(jump, "at").select(F.col("to").alias("at"), (F.col("i") + steps).alias("i")), "fresh")
+        if fresh.isEmpty():
+            return known.where("i > 0").select(F.col("at").alias("hi"), (F.col("i") + first - 1).alias("batch"))
+        grown = written(known.union(fresh), "known")
+        further = jump.select(F.col("at").alias("to"), F.col("to").alias("beyond"))
+        longer = written(jump.join(further, "to").select("at", F.col("beyond").alias("to")), "jump")
+        for old in (known, fresh, jump):
+            discard(old)
+        known, jump, steps = grown, longer, 2 * steps
 
 
 def running_unique(rows: DataFrame) -> DataFrame:

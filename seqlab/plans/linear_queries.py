@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlab.functions import vectors
-from seqlab.operators import agreement, features, linear, tagging
+from seqlab.operators import agreement, features, linear, tagging, training
 from seqlab.plans.registry import big, query, r6
 from seqlab.session import work_path, written
 from seqlab.sources import models
@@ -139,7 +139,7 @@ def embedding_probs(spark, d):
 )
 def one_hot(spark, d):
     emb = table(spark, d, "embeddings").select("vec_id", "label")
-    size = emb.agg(F.max("label")).first()[0] + 1
+    size = (emb.agg(F.max("label")).first()[0] or 0) + 1
     return long_cells(emb.select("vec_id", vectors.one_hot(F.col("label"), size).alias("h")), "h", "vec_id")
 
 
@@ -150,7 +150,7 @@ def one_hot(spark, d):
 )
 def smooth_labels(spark, d):
     emb = table(spark, d, "embeddings").select("vec_id", "label")
-    size = emb.agg(F.max("label")).first()[0] + 1
+    size = (emb.agg(F.max("label")).first()[0] or 0) + 1
     rows = emb.select("vec_id", vectors.smooth_one_hot(F.col("label"), size).alias("h"))
     return long_cells(rows, "h", "vec_id").withColumn("v", r6("v"))
 
@@ -409,6 +409,36 @@ def train_softmax(spark, d):
     return scored.withColumn("norm", agreement.l2_norm(model).scalar())
 
 
+@query(
+    "softmax_optimum",
+    "SELECT tag, count(*) AS n, round(count(*) / (SELECT count(*) FROM seq WHERE split = 'train'), 6)::DOUBLE AS share, true AS converged, true AS calibrated "
+    "FROM seq WHERE split = 'train' GROUP BY tag",
+)
+def softmax_optimum(spark, d):
+    """Training in tables to a gradient of 5e-4: at the optimum the mean probability of a class is its share."""
+    rows = seq_examples(spark, d).where("split = 'train'")
+    tags = tagging.tag_list(rows)
+    out = training.lbfgs(linear.hard_targets(rows, tags), tags, REG, tolerance=5e-4)
+    shares = training.class_shares(linear.predict_proba(rows, out.model, [*TOKEN, "tag"]), tags)
+    total = shares.agg(F.sum("n")).scalar()
+    share = F.col("n") / total
+    names = F.array(*[F.lit(t) for t in tags])
+    return shares.select(
+        F.element_at(names, F.col("class_id") + 1).alias("tag"), "n", r6(share).alias("share"),
+        F.lit(out.converged).alias("converged"), (F.abs(F.col("mean_p") - share) < 1e-3).alias("calibrated"),
+    )
+
+
+@query("minibatch_epochs")
+def minibatch_epochs(spark, d):
+    """Losses of mini-batch descent on the training sequences, taken every tenth epoch up to the stop."""
+    rows = seq_examples(spark, d).where("split = 'train'")
+    tags = tagging.tag_list(rows)
+    out, losses = training.epochs(linear.hard_targets(rows, tags), tags, REG, 3.0, 0.001)
+    table = spark.createDataFrame(losses, "epoch long, loss double")
+    return table.withColumn("loss", r6("loss")).withColumn("stop", F.col("epoch") == out.steps)
+
+
 @query("train_soft_labels")
 def train_soft_labels(spark, d):
     """A student fitted to the teacher's probabilities; how near it comes on held-out rows."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.vectors import SCORES
-from seqlab.operators import agreement, features, linear, ngram, sampling, selection, vocab
+from seqlab.operators import agreement, features, linear, ngram, sampling, selection, training, vocab
 from seqlab.operators.linear import LinearModel
 from seqlab.operators.scale import running_sum, union_all
 from seqlab.session import work_path, written
@@ -261,10 +261,11 @@ def run_rounds(
             train = rows.withColumn("target", F.col("p"))
         else:
             train = linear.hard_targets(rows, tags)
-        names = written(features.feature_vocab(rows), "vocabulary")
-        student = linear.center(linear.train_softmax(train, names, tags, reg, max_iter))
+        # The student goes on from its weights; features that it has not met start from zero.
+        fitted = training.lbfgs(train, tags, reg, start=student, max_steps=max_iter, tolerance=1e-3)
+        student = linear.center(fitted.model)
         student = student._replace(weights=written(student.weights, "student"))
-        append_metrics(long_metrics(_state(student, teacher, dev, rows, reg), run, batch), metrics)
+        append_metrics(long_metrics(_state(student, teacher, dev, rows, reg), run, batch), metrics, f"{run}-{batch}")
     return Round(store, metrics, student)
 
 

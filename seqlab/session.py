@@ -65,7 +65,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lost executors. Used between rounds and for tables that several jobs read."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table made by :func:`written` that nothing reads any more, such as the state of
+    the round before. Frames that are not such a table are left alone."""
+    path = getattr(df, "_written_path", None)
+    if path is None:
+        return
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    place.getFileSystem(conf).delete(place, True)
 
 
 def cut_scan(df: DataFrame, *keys: str) -> DataFrame:
