@@ -16,6 +16,7 @@ SEED = 123
 _SEG = "CAST(seg AS BIGINT) AS seg"
 _SEQ_SENT = "(SELECT src_id, seg, split, count(*) AS len FROM seq GROUP BY ALL)"
 _KEY = key_sql(SEED, "src_id", "seg")
+CARRY = 20
 
 
 @query(
@@ -27,10 +28,15 @@ def seeded_shuffle(spark, d):
     return rows.select("src_id", big("seg").alias("seg"), "split", "rank")
 
 
-@query("random_subset", f"SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings ORDER BY {key_sql(SEED, 'vec_id')} LIMIT 100")
+@query(
+    "random_subset",
+    f"SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings QUALIFY row_number() OVER (ORDER BY {key_sql(SEED, 'vec_id')}, vec_id) <= (SELECT count(*) // 2 FROM embeddings)",
+)
 def random_subset(spark, d):
-    rows = selection.random_subset(table(spark, d, "embeddings").select("vec_id", "label"), ["vec_id"], SEED, 100)
-    return rows.select("vec_id", big("label").alias("label"))
+    """A random half of the vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    half = selection.random_subset(rows, ["vec_id"], SEED, rows.count() // 2)
+    return half.select("vec_id", big("label").alias("label"))
 
 
 @query("minibatches", f"SELECT vec_id, (row_number() OVER (ORDER BY {key_sql(SEED, 'vec_id')}) - 1) // 32 AS batch FROM embeddings")
@@ -130,6 +136,29 @@ def select_best_of_n(spark, d):
     return best.select("src_id", big("seg").alias("seg"), r6("score").alias("score"))
 
 
+@query(
+    "best_of_n_carry",
+    "RECURSIVE WITH s AS (SELECT src_id, seg, avg(s) AS score FROM (SELECT src_id, seg, pos, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS s FROM student_pa GROUP BY 1, 2, 3) GROUP BY 1, 2), "
+    "r AS MATERIALIZED (SELECT src_id, seg, round(score, 9) AS score, row_number() OVER (ORDER BY src_id, seg) - 1 AS place FROM s), "
+    "p AS (SELECT -1::BIGINT AS pick, -1::BIGINT AS place, []::BIGINT[] AS taken UNION ALL "
+    "SELECT pick + 1, x.best, list_append(taken, x.best) FROM (SELECT p.pick, any_value(p.taken) AS taken, min_by(r.place, (-r.score, r.place)) AS best FROM p JOIN r "
+    f"ON r.place < (p.pick + 2) * {CARRY} AND NOT list_contains(p.taken, r.place) WHERE (p.pick + 2) * {CARRY} <= (SELECT count(*) FROM r) GROUP BY p.pick) x) "
+    f"SELECT pick, src_id, {_SEG}, round(score, 6) AS score FROM p JOIN r USING (place)",
+)
+def best_of_n_carry(spark, d):
+    """One pick for every ``CARRY`` sequences that come in: the one of those not yet taken that the student is
+    least sure of."""
+    from seqlab.functions.vectors import entropy
+    from seqlab.operators.carry import best_with_carry
+    from seqlab.operators.linear import predict_proba
+    from seqlab.session import written
+
+    _, student, every = all_rows(spark, d)
+    scored = predict_proba(every, student).groupBy(*KEY).agg(F.avg(entropy(F.col("p"))).alias("score"))
+    picks = best_with_carry(written(scored, "scores"), KEY, "score", CARRY)
+    return picks.select("pick", "src_id", big("seg").alias("seg"), r6("score").alias("score"))
+
+
 @query(
     "greedy_sentences",
     "WITH " + _CDF_WORDS.format(source="seq") + ", i AS (SELECT DISTINCT src_id FROM seq), a AS (SELECT src_id AS id, unnest(range(25)) AS place FROM i), "
@@ -161,25 +190,42 @@ def greedy_sentences_entropy(spark, d):
     return out.select("id", F.array_join("words", " ").alias("sentence"))
 
 
-BUDGETS = [10_000] + [5_000] * 11
+BUDGETS = [10_000, 5_000]
 
 
 @query(
     "token_budget_batches",
     "RECURSIVE WITH s AS MATERIALIZED (SELECT len(words) AS n, sum(len(words)) OVER (ORDER BY src_id, seg) AS upto FROM tok_sent), "
     f"b AS (SELECT 0::BIGINT AS batch, 0::HUGEINT AS lo, min(upto) AS hi FROM s WHERE upto >= {BUDGETS[0]} UNION ALL "
-    f"SELECT b.batch + 1, b.hi, (SELECT min(upto) FROM s WHERE upto >= b.hi + {BUDGETS[1]}) FROM b WHERE b.batch + 1 < {len(BUDGETS)} AND b.hi IS NOT NULL) "
+    f"SELECT b.batch + 1, b.hi, (SELECT min(upto) FROM s WHERE upto >= b.hi + {BUDGETS[1]}) FROM b WHERE b.hi IS NOT NULL) "
     "SELECT batch, count(*) AS n_sentences, sum(n)::BIGINT AS n_tokens, max(upto)::BIGINT AS tokens_so_far FROM s JOIN b ON upto > lo AND (hi IS NULL OR upto <= hi) GROUP BY batch",
 )
 def token_budget_batches(spark, d):
-    """The corpus in order, cut by token budgets; each batch ends with the sentence that crosses it."""
+    """The whole corpus in order: 10,000 tokens first, then 5,000 a batch; each ends with the sentence that crosses."""
     rows = tok(spark, d).select(*KEY, F.size("words").alias("len"))
-    cut = selection.budget_batches(rows, KEY, BUDGETS)
+    cut = selection.budget_batches(rows, KEY, BUDGETS[:1], then=BUDGETS[1])
     return cut.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum("len").alias("n_tokens"), F.max("upto").alias("tokens_so_far")
     )
 
 
+@query(
+    "budgeted_unique_words",
+    "RECURSIVE WITH s AS MATERIALIZED (SELECT src_id, seg, words, sum(len(words)) OVER (ORDER BY src_id, seg) AS upto FROM tok_sent), "
+    f"b AS (SELECT 0::BIGINT AS batch, 0::HUGEINT AS lo, min(upto) AS hi FROM s WHERE upto >= {BUDGETS[0]} UNION ALL "
+    f"SELECT b.batch + 1, b.hi, (SELECT min(upto) FROM s WHERE upto >= b.hi + {BUDGETS[1]}) FROM b WHERE b.hi IS NOT NULL), "
+    "t AS (SELECT batch, unnest(words) AS word FROM s JOIN b ON upto > lo AND (hi IS NULL OR upto <= hi)), "
+    "f AS (SELECT min(batch) AS batch, word FROM t GROUP BY word), k AS (SELECT batch, count(*) AS k FROM f GROUP BY batch), n AS (SELECT batch, count(*) AS n FROM t GROUP BY batch) "
+    "SELECT batch, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS n_tokens, CAST(sum(coalesce(k, 0)) OVER (ORDER BY batch) AS BIGINT) AS n_words FROM n LEFT JOIN k USING (batch)",
+)
+def budgeted_unique_words(spark, d):
+    """Tokens and distinct words so far after each budgeted batch of the whole corpus."""
+    rows = tok(spark, d).select(*KEY, "words", F.size("words").alias("len"))
+    cut = selection.budget_batches(rows, KEY, BUDGETS[:1], then=BUDGETS[1])
+    out = selection.running_unique(cut.select("batch", "words"))
+    return out.select("batch", big("n_tokens").alias("n_tokens"), big("n_words").alias("n_words"))
+
+
 # Series
 
 _SERIES = (

@@ -254,12 +254,14 @@ def allowed_window4(spark, d):
 
 @query(
     "truncate_split",
-    "WITH s AS (SELECT DISTINCT src_id, seg, split FROM seq), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY src_id, seg) AS k FROM s) "
-    "SELECT src_id, CAST(seg AS BIGINT) AS seg, split FROM r WHERE split = 'test' OR (split = 'train' AND k <= 50) OR (split = 'dev' AND k <= 5)",
+    "WITH s AS (SELECT DISTINCT src_id, seg, split FROM seq), r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY src_id, seg) AS k, count(*) OVER (PARTITION BY split) AS size FROM s) "
+    "SELECT src_id, CAST(seg AS BIGINT) AS seg, split FROM r WHERE split = 'test' OR (split = 'train' AND k <= size // 2) OR (split = 'dev' AND k <= 5)",
 )
 def truncate_split(spark, d):
-    rows = selection.first_of_splits(seq(spark, d), {"train": 50, "dev": 5}, KEY)
-    return rows.select("src_id", big("seg").alias("seg"), "split")
+    """Half of the training sequences and five of dev."""
+    rows = seq(spark, d)
+    half = rows.where("split = 'train'").count() // 2
+    return selection.first_of_splits(rows, {"train": half, "dev": 5}, KEY).select("src_id", big("seg").alias("seg"), "split")
 
 
 # Joins

@@ -182,3 +182,40 @@ def test_budget_beyond_the_source_is_an_error(spark):
     ctx = rounds.Context(train, counts, nothing, None, None, None)
     with pytest.raises(ValueError):
         rounds._fill("FROM_TRAIN_SET", ctx, 20, 2.0, 0)
+
+
+def budgets(lengths, sizes):
+    """Batch of each sentence, one after another."""
+    out, batch, left = [], 0, sizes[0]
+    for n in lengths:
+        out.append(batch)
+        left -= n
+        if left <= 0:
+            batch += 1
+            left = sizes[min(batch, len(sizes) - 1)]
+    return out
+
+
+def test_budget_batches_to_the_end(spark):
+    import random
+
+    rng = random.Random(7)
+    for sizes in ([13, 6], [5], [3, 200, 9], [10_000, 5]):
+        lengths = [rng.choice([1, 1, 2, 3, 5, 20]) for _ in range(120)]
+        rows = spark.createDataFrame(list(enumerate(lengths)), "id long, len int")
+        got = selection.budget_batches(rows, ["id"], sizes[:-1], then=sizes[-1]).orderBy("id").collect()
+        assert [r.batch for r in got] == budgets(lengths, sizes)
+        assert [r.upto for r in got] == [sum(lengths[: i + 1]) for i in range(120)]
+
+
+def test_first_rows(spark, monkeypatch):
+    from seqlab.operators import scale
+
+    monkeypatch.setattr(scale, "FEW", 5)
+    monkeypatch.setattr(scale, "CELLS", 7)
+    keys = [None, None, 0.5, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0, 1e12] + [float(k * k) for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k double").repartition(3)
+    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0.0, i))
+    for n in (0, 1, 2, 9, 25, 49, 50, 99):
+        got = sorted(r.id for r in scale.first_rows(rows, ["k", "id"], n, scale.F.col("k")).collect())
+        assert got == sorted(order[:n])
