@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.operators.scale import number_rows, running_sum
-from seqlab.session import written
+from seqlab.sources.column_tags import ColumnTags
 
 # Fixed values of the log format.
 DONE_MARKER = "Labels Only Experiment Done"
@@ -22,49 +21,24 @@ LOG_HEADERS = [
 RUN_NAME = r"words(\d+)_l2_weight([^_]+).*lossimpr([^_]+).*0_(.+)\.txt"
 
 
-def _lines(spark: SparkSession, path: str, ends: Column) -> DataFrame:
-    """``file sentence pos line`` of the lines that are not blank.
-
-    A sentence ends at every line for which ``ends`` holds (``value`` is the line without blanks
-    at its end). Files are read by lines, so none has to fit one record; lines are in the order
-    of the splits of a file and of the rows in each.
-    """
-    read = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.regexp_replace("value", "[ \t\r]+$", "").alias("value"),
-    )
-    read = written(read.withColumn("ends", ends), "lines")
-    order = ["split", "line_no"]
-    cut = F.format_string("%020d-%020d", F.col("split"), F.shiftright("line_no", 16))
-    counted = running_sum(read, ["file"], order, cut, F.col("ends").cast("bigint"), "sentence")
-    kept = counted.where(~F.col("ends"))
-    numbered = number_rows(kept, ["file", "sentence"], order, cut, "pos")
-    return numbered.select("file", "sentence", F.col("pos").cast("int").alias("pos"), F.col("value").alias("line"))
+def _tokens(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    spark.dataSource.register(ColumnTags)
+    return spark.read.format("column_tags").option("layout", layout).load(path)
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """Tab-column files: word in column 1, tag in column 3, blank lines between sentences.
 
     A last sentence without a closing blank line is kept, and empty sentences are not made.
-    Columns ``file sentence pos word tag``.
+    Columns ``file sentence pos word tag``; see :mod:`column_tags`.
     """
-    rows = _lines(spark, path, F.col("value") == "")
-    cols = F.split("line", "\t")
-    return rows.select(
-        "file", "sentence", "pos", F.get(cols, F.lit(1)).alias("word"), F.get(cols, F.lit(3)).alias("tag")
-    )
+    return _tokens(spark, path, "conll")
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
     """Tagged documents: units end at a ``-DOCSTART-`` line or a blank line; a line is cut at
     its first tab. Columns ``file sentence pos word tag``, a sentence being a unit."""
-    rows = _lines(spark, path, (F.col("value") == "") | F.col("value").rlike("^-DOCSTART-.+"))
-    cols = F.split("line", "\t", 2)
-    return rows.select(
-        "file", "sentence", "pos", F.get(cols, F.lit(0)).alias("word"), F.get(cols, F.lit(1)).alias("tag")
-    )
+    return _tokens(spark, path, "docs")
 
 
 def write_conll(sentences: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from seqlab.operators.features import feature_vocab
 from seqlab.operators.linear import LinearModel, long_weights, packed_weights
 from seqlab.operators.scale import checked_small
 from seqlab.operators.tagging import MAX_TAGS
+from seqlab.sources import committed
 
 
 def save_model(model: LinearModel, path: str) -> None:
@@ -43,9 +44,11 @@ def feature_vocab_cache(
     return spark.read.parquet(path).where(F.col("min_freq") == min_freq)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append ``run, metric, step, value`` rows to the long metrics table."""
-    metrics.select("run", "metric", F.col("step").cast("bigint").alias("step"), F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
+def append_metrics(metrics: DataFrame, path: str, batch: str) -> None:
+    """Add ``run, metric, step, value`` rows to the long metrics store under the name of their batch.
+    A batch that is there already, as when a round runs again, is not added twice."""
+    rows = metrics.select("run", "metric", F.col("step").cast("bigint").alias("step"), F.col("value").cast("double").alias("value"))
+    committed.append(rows, path, batch)
 
 
 def long_metrics(row: DataFrame, run: str, step: int) -> DataFrame:

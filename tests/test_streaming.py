@@ -48,3 +48,22 @@ def test_folder_table_and_restart(spark, tmp_path):
     batches = spark.read.parquet(out).select("batch").distinct().count()
     assert run() == {"a": 3, "b": 2, "c": 1, "d": 2, "e": 1}
     assert spark.read.parquet(out).select("batch").distinct().count() == batches == 3
+
+
+def test_totals_go_on_after_a_restart(spark, tmp_path):
+    """Each run takes up the state of the one before; a late batch counts when it comes."""
+    from seqlab.streaming import totals
+
+    folder, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    schema = "doc_id long, text string, lang string"
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(folder)
+        totals.add_totals(tokens(document_sentences(stream)), out)
+        return [tuple(r) for r in totals.totals(spark, out).orderBy("batch").collect()]
+
+    write_docs(spark, folder, ["a b a", "c"])
+    assert run() == [(0, 4, 3)]
+    write_docs(spark, folder, ["a d. d", None], 2)
+    assert run() == [(0, 4, 3), (1, 8, 5)]
+    assert run() == [(0, 4, 3), (1, 8, 5)]

@@ -64,8 +64,6 @@ def test_readers_cut_files_by_lines(spark, tmp_path):
     (tmp_path / "units" / "a").write_text("".join(f"-DOCSTART- {k}\nw{k}\tT\n" for k in range(500)))
     rows = files.read_docs(spark, str(tmp_path / "units"))
     assert rows.select("sentence").distinct().count() == 500
-    lines = files._lines(spark, str(tmp_path / "units"), files.F.col("value") == "")
-    assert lines.count() == 1000
 
 
 def test_logs_take_the_last_block_of_finished_runs(spark, tmp_path):
