@@ -7,18 +7,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.operators.chunked_paths import MAX_STATES, decode
 from seqlab.operators.scale import checked_small, lookup
 from seqlab.operators.tagging import MAX_TAGS
 from seqlab.operators.vocab import word_tag_counts
+from seqlab.session import written
 from seqlab.sources.corpora import KEY, pack
 
 START = "<START>"
 END = "<STOP>"
 # The dense transition table is K^3 doubles and is sent to every task.
 MAX_DENSE_TAGS = 128
+#: Tokens above which a sequence is spread over several tasks.
+CHUNK = 4096
 
 
 class HmmCounts(NamedTuple):
@@ -183,20 +187,47 @@ def viterbi(
     counts: HmmCounts,
     grid: list[tuple[float, float]],
     unigram_of: str = "target",
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Decode every sentence for every (l1, l2): rows with ``l1 l2 pos word tag pred score``.
 
-    Sentences are decoded in parallel; only tag tables travel to the tasks.
+    Sentences are decoded in parallel; only tag tables travel to the tasks. A sequence of more than
+    ``chunk`` tokens is spread over tasks by chunks, see :mod:`chunked_paths`, if the tag set allows.
     """
     m = tag_model(counts)
     tables = {(a, b): log_transitions(m, a, b, unigram_of) for a, b in grid}
     shared = tokens.sparkSession.sparkContext.broadcast(tables)
-    packed = pack(with_emissions(tokens, counts, m), emits="emit", unseen="unseen")
-    lits = [F.struct(F.lit(float(a)).alias("l1"), F.lit(float(b)).alias("l2")) for a, b in grid]
-    jobs = packed.select("*", F.inline(F.array(*lits)))
+    lits = F.inline(F.array(*[F.struct(F.lit(float(a)).alias("l1"), F.lit(float(b)).alias("l2")) for a, b in grid]))
     tags = m.tags
+    fits = (len(tags) + 1) ** 2 <= MAX_STATES
+    long = tokens.where(F.col("pos") >= chunk).select(*KEY).distinct()
+    if not fits or long.isEmpty():
+        decoded = _whole(with_emissions(tokens, counts, m), lits, shared, tags)
+    else:
+        long = written(long, "long_sequences")
+        rows = with_emissions(tokens.join(long, KEY, "left_semi"), counts, m)
+        row = F.struct("pos", F.col("word").alias("words"), F.col("tag").alias("tags"), "unseen", F.col("emit").alias("emits"))
+        part = rows.groupBy(*KEY, "split", F.floor(F.col("pos") / chunk).cast("int").alias("idx"))
+        packed = part.agg(F.array_sort(F.collect_list(row)).alias("r"))
+        packed = packed.select(*KEY, "split", "idx", "r.words", "r.tags", "r.unseen", "r.emits")
+        cut = decode(packed.select("*", lits), shared, tags)
+        rest = with_emissions(tokens.join(long, KEY, "left_anti"), counts, m)
+        decoded = cut.unionByName(_whole(rest, lits, shared, tags).withColumn("idx", F.lit(0)))
+    if "idx" not in decoded.columns:
+        decoded = decoded.withColumn("idx", F.lit(0))
+    zipped = F.posexplode(F.arrays_zip("words", "tags", "unseen", "preds")).alias("at", "t")
+    return decoded.select(*KEY, "split", "l1", "l2", "score", "idx", zipped).select(
+        *KEY, (F.col("idx") * chunk + F.col("at")).cast("int").alias("pos"), "split", "l1", "l2", "score",
+        F.col("t.words").alias("word"), F.col("t.tags").alias("tag"),
+        F.col("t.unseen").alias("unseen"), F.col("t.preds").alias("pred"),
+    )
+
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(rows: DataFrame, lits: Column, shared, tags: list[str]) -> DataFrame:
+    """Decode sentences that are one row each."""
+    jobs = pack(rows, emits="emit", unseen="unseen").select("*", lits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             paths, scores = [], []
             for emits, l1, l2 in zip(pdf["emits"], pdf["l1"], pdf["l2"]):
@@ -211,15 +242,7 @@ def viterbi(
         "src_id long, seg int, split string, words array<string>, tags array<string>, "
         "unseen array<boolean>, l1 double, l2 double, preds array<string>, score double"
     )
-    decoded = jobs.select(
-        *KEY, "split", "words", "tags", "unseen", "l1", "l2", "emits"
-    ).mapInPandas(decode, schema)
-    zipped = F.posexplode(F.arrays_zip("words", "tags", "unseen", "preds")).alias("pos", "t")
-    return decoded.select(*KEY, "split", "l1", "l2", "score", zipped).select(
-        *KEY, "pos", "split", "l1", "l2", "score",
-        F.col("t.words").alias("word"), F.col("t.tags").alias("tag"),
-        F.col("t.unseen").alias("unseen"), F.col("t.preds").alias("pred"),
-    )
+    return jobs.select(*KEY, "split", "words", "tags", "unseen", "l1", "l2", "emits").mapInPandas(run, schema)
 
 
 def tune(tokens: DataFrame, counts: HmmCounts, grid: list[tuple[float, float]]) -> DataFrame:

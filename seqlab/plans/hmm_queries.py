@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlab.operators import hmm, tagging
+from seqlab.operators.scale import number_rows
 from seqlab.plans.fragments import HMM_L1, HMM_L2, MIN_FREQ
 from seqlab.plans.registry import big, query, r6
 from seqlab.session import written
@@ -113,13 +114,33 @@ def decoded(spark, d, grid):
 
 @query("viterbi_decode", _VITERBI)
 def viterbi_decode(spark, d):
-    rows = decoded(spark, d, [(HMM_L1, HMM_L2)])
+    return paths(decoded(spark, d, [(HMM_L1, HMM_L2)]))
+
+
+def paths(rows):
+    """The tag path of each sequence and its score."""
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pred"))), lambda x: x["pred"]), " ")
     return rows.groupBy("src_id", "seg").agg(r6(F.first("score")).alias("score"), path.alias("path")).select(
         "src_id", big("seg").alias("seg"), "score", "path"
     )
 
 
+_USERS = "SELECT src_id, 0 AS seg, row_number() OVER (PARTITION BY src_id ORDER BY seg, pos) - 1 AS pos, word, tag FROM seq"
+_VITERBI_USERS = _VITERBI
+for _use in ("FROM seq w", "FROM seq)", "FROM seq s"):
+    _VITERBI_USERS = _VITERBI_USERS.replace(_use, _use.replace("seq", "useq"))
+_VITERBI_USERS = _VITERBI_USERS.replace("WITH q AS", f"WITH useq AS MATERIALIZED ({_USERS}), q AS", 1)
+
+
+@query("viterbi_users", _VITERBI_USERS)
+def viterbi_users(spark, d):
+    """All events of a user as one sequence, decoded in chunks of 64 tokens."""
+    rows = seq_tokens(spark, d)
+    whole = number_rows(rows.withColumnRenamed("pos", "at"), ["src_id"], ["seg", "at"], F.col("seg"), "pos")
+    whole = written(whole.select("src_id", F.lit(0).alias("seg"), F.col("pos").cast("int").alias("pos"), "word", "tag", "split"), "users")
+    return paths(hmm.viterbi(whole, counts(spark, d), [(HMM_L1, HMM_L2)], chunk=64))
+
+
 @query("hmm_tune")
 def hmm_tune(spark, d):
     """Accuracy on dev per (l1, l2), and that of the best pair on test."""
