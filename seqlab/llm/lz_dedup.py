@@ -16,7 +16,8 @@ and no text is compared with a block that holds none of them.
 
 A seed or passage that very many texts share costs each slice of 1 MB one entry per block: what
 repeats inside a slice is settled there. Texts move once, in one shuffle that all three steps
-read; the rest are hashes. A window counts as equal when 96 bits of two hashes are.
+read; the rest are hashes. A window counts as equal when 96 bits of two hashes of its words are, a word when
+64 bits of its hash are; see :mod:`arrow_text`.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from seqlab.llm.arrow_text import (
     buffers,
@@ -44,13 +46,27 @@ SEED = 8
 BLOCKS = 4
 
 
+def sortable(value: Column, kind: DataType) -> list[Column]:
+    """What rows can be ordered by in a value of any type: of structs their fields, of maps nothing."""
+    if isinstance(kind, StructType):
+        return [c for f in kind.fields for c in sortable(value.getField(f.name), f.dataType)]
+    if isinstance(kind, ArrayType) and not sortable(value, kind.elementType):
+        return []
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return [F.to_json(value)]
+    return [] if isinstance(kind, (MapType, VariantType)) else [value]
+
+
 def numbered(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, copy, text of the rows with an id: ``copy`` tells rows of one id apart by text."""
+    """doc_id, copy, text of the rows with an id: ``copy`` tells rows of one id apart by text.
+
+    Rows of one id and text come in the order of what can be ordered of their other columns."""
     # No alias where none is needed: plans that read the rows twice then share one shuffle.
     plain = docs.schema["doc_id"].dataType.typeName() == "long"
     number = F.col("doc_id") if plain else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(number, "text", *more)
-    order = W.partitionBy("doc_id").orderBy("text", *more)
+    rest = [c for name in more for c in sortable(F.col(name), docs.schema[name].dataType)]
+    order = W.partitionBy("doc_id").orderBy("text", *rest)
     numbers = rows.where("doc_id IS NOT NULL").withColumn("copy", F.row_number().over(order))
     return numbers.select("doc_id", "copy", "text", *more)
 

@@ -172,11 +172,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], steps:
 
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as their rate says, its fraction decided by a hash of the id."""
-    names = docs.columns
-    rate = rates.select(F.col("doc_id").alias("_rated"), F.col("rate").alias("_rate"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    rows = docs.join(rate, F.col("doc_id").eqNullSafe(F.col("_rated"))).withColumn("_times", times)
-    copies = rows.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*names)
+    """Rows of ``docs`` as often as their rate says, its fraction decided by a hash of the id.
+
+    ``rates(doc_id, rate)`` has each id once; rows without an id go by the rate of the null id, and rows whose
+    id has no rate are left out. Repeated rows are each taken as often. Texts may be null or empty; all columns
+    are carried along, whatever their names; an empty table gives an empty one.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rate = rates.select(F.col("doc_id").alias("rated"), "rate")
+    rows = docs.select(F.col("doc_id").alias("id"), every.alias("row"))
+    draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    taken = rows.join(rate, F.col("id").eqNullSafe(F.col("rated"))).withColumn("times", times)
+    copies = taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -79,3 +79,39 @@ def test_encoding(stages):
         digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         want.append((r.doc_id, len(ids), digest, hashlib.sha256(r.text.encode()).hexdigest()))
     assert sorted(tuple(r) for r in stages[5].collect()) == sorted(want)
+
+
+NAMES = ["_rate", "_copy", "_nth", "_times", "rate", "row", "score", "quality_score", "n_removed", "n_lines", "copy", "rest", "times", "id"]
+
+
+def odd(spark, docs):
+    """Nulls, empty texts, repeated rows, a map column and columns named as the operators' own."""
+    some = docs.limit(25)
+    extra = spark.createDataFrame(
+        [(None, None, "en", "s", 0), (None, "no id at all", None, "s", 12), (10_000, None, "de", None, None),
+         (10_001, "", "fr", "s", 0), (10_002, "word " * 30_000, "en", "s", 150_000)] * 2,
+        docs.schema,
+    )
+    rows = some.union(some.limit(3)).union(extra)
+    for name in NAMES:
+        rows = rows.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    return written(rows.withColumn("tags", F.create_map(F.lit("k"), F.col("lang"))), "odd")
+
+
+def test_odd_rows_in_every_stage(spark, stages):
+    docs = odd(spark, stages[0])
+    labels = Counter(r.doc_id for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= set(labels)
+        for r in rows:
+            who = "-" if r.doc_id is None else str(r.doc_id)
+            assert all(r[n] == n + who for n in NAMES) and r.tags == {"k": r.lang}, name
+        if name == "line dedup":
+            assert Counter(r.doc_id for r in rows) == labels
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in last) == labels
+    assert {r.n_tokens for r in last if r.doc_id in (10_000, 10_001)} == {0}
