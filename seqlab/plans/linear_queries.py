@@ -418,7 +418,7 @@ def softmax_optimum(spark, d):
     """Training in tables to a gradient of 5e-4: at the optimum the mean probability of a class is its share."""
     rows = seq_examples(spark, d).where("split = 'train'")
     tags = tagging.tag_list(rows)
-    out = training.lbfgs(linear.hard_targets(rows, tags), tags, REG, tolerance=5e-4)
+    out = training.lbfgs(linear.hard_targets(rows, tags), tags, 20 * REG, tolerance=5e-4)
     shares = training.class_shares(linear.predict_proba(rows, out.model, [*TOKEN, "tag"]), tags)
     total = shares.agg(F.sum("n")).scalar()
     share = F.col("n") / total
