@@ -17,12 +17,13 @@ from seqlab.session import written
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all columns as one, so that no name clashes with those of an operator."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """doc_id, text and the columns beside the text as one, so that no name clashes with those of an operator."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    own = {"text": F.col("text"), **changed}
+    return rows.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     whole; other columns are carried along whatever their names; an empty table gives an empty one.
     """
     cut = line_dedup.dedup(_packed(docs))
-    changed = {"text": F.col("text")}
+    changed = {}
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row").getField("n_chars"))
         changed["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
