@@ -82,6 +82,17 @@ def test_ngram_counts_and_perplexity(spark):
     assert got.perplexity_with_stop == pytest.approx(2 ** (-sum(map(math.log2, p)) / 6))
 
 
+def test_cdf_makes_its_counts_once(spark):
+    """Sums, totals and the search for heavy contexts read written counts, not the corpus again."""
+    counts = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("b", "x", 2)], "w2 string, w3 string, n long")
+    out = ngram.cdf(counts, ["w2"], "w3")
+    assert [tuple(r) for r in out.orderBy("w2", "w3").collect()] == [
+        ("a", "x", 1, 2, 0.0, 0.25), ("a", "y", 3, 2, 0.25, 1.0), ("b", "x", 2, 1, 0.0, 1.0)
+    ]
+    files = out.inputFiles()
+    assert files and all("/seqlab/counts-" in f for f in files)
+
+
 def descent(x, y, reg, steps=20000, eta=0.5):
     w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
     for _ in range(steps):
