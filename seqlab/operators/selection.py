@@ -62,8 +62,14 @@ def budget_batches(
 
     A batch starts where the one before stopped. Every place where one could start gets its successor,
     the first sentence that crosses the budget from there; the ends are then followed from the first one by
-    pointer doubling: round k adds the 2^k ends that lie 2^k steps after the known ones.
+    pointer doubling: round k adds the 2^k ends that lie 2^k steps after the known ones. Only order and
+    length pass through these steps; other columns are written once and meet their batch by row number.
     """
+    row = "_budget_row"
+    if {*df.columns} - {*order, length, row}:
+        kept = written(df.withColumn(row, F.monotonically_increasing_id()), "kept")
+        cut = budget_batches(kept.select(*order, length, row), order, sizes, length, then)
+        return kept.join(cut.select(row, "upto", "batch"), row).select(*df.columns, "upto", "batch")
     summed = written(running_sum(df, [], order, None, F.col(length).cast("bigint"), "upto"), "summed")
     heads, start = [], 0
     for batch, size in enumerate(sizes):

@@ -29,6 +29,17 @@ def test_batch_iterator_golden(spark):
     assert order == [["a", "b"], ["c", "d"], ["a", "b"], ["c", "d"], ["a", "b"]]
 
 
+def test_budget_batches_carry_no_words(spark, monkeypatch):
+    """Words are written once; the steps that find the batches pass on order and length only."""
+    seen, keep = [], selection.written
+    monkeypatch.setattr(selection, "written", lambda df, name: seen.append((name, df.columns)) or keep(df, name))
+    # Two rows share an id, and each comes back once with its own words.
+    rows = spark.createDataFrame([(0, ["a"]), (1, ["b", "c"]), (1, ["d", "e"]), (2, None)], "id long, words array<string>")
+    got = selection.budget_batches(rows.withColumn("len", F.size("words")), ["id"], [1], then=2).collect()
+    assert sorted((r.id, r.words or []) for r in got) == [(0, ["a"]), (1, ["b", "c"]), (1, ["d", "e"]), (2, [])]
+    assert [name for name, columns in seen if "words" in columns] == ["kept"]
+
+
 def test_cycle_counts_passes(spark):
     rows = selection.cycle(spark.range(3), ["id"], 5, 4).orderBy("draw").collect()
     assert [r["pass"] for r in rows] == [0, 0, 0, 1]
