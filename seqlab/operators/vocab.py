@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import ascii_lower, word_class
-from seqlab.operators.scale import lookup, number_rows
+from seqlab.operators.scale import MAX_HEAVY, lookup, number_rows, union_all
 from seqlab.session import written
 from seqlab.sources.corpora import KEY, TOKEN
 
@@ -66,10 +66,23 @@ def _norms(words: DataFrame, keep: Column, frequent: DataFrame) -> DataFrame:
 
 
 def preprocess(tokens: DataFrame, norms: DataFrame) -> DataFrame:
-    """Replace rare words; the original stays in ``orig``, ``replaced`` tells which changed."""
+    """Replace rare words; the original stays in ``orig``, ``replaced`` tells which changed.
+
+    Words that make up 1/100,000 of the tokens or more, of which there can be no more than 100,000
+    and which most tokens are, find their norm in a broadcast table; only the others are shuffled.
+    The tokens are read twice for it.
+    """
     norms = written(norms, "norms")
-    freq = norms.select("word", F.col("total").alias("n"))
-    found = lookup(tokens, norms.select("word", "keep", "as_first", "as_later"), ["word"], freq)
+    total = norms.agg(F.sum("total")).scalar()
+    wide = norms.select("word", "keep", "as_first", "as_later", (F.col("total") * MAX_HEAVY >= total).alias("common"))
+    common = F.broadcast(wide.where("common").drop("common"))
+    unknown = [F.lit(None).cast(norms.schema[c].dataType).alias(c) for c in ("keep", "as_first", "as_later")]
+    others = tokens.where("word IS NOT NULL").join(common.select("word"), "word", "left_anti").select(tokens.columns)
+    found = union_all([
+        tokens.join(common, "word").select(*tokens.columns, "keep", "as_first", "as_later"),
+        lookup(others, wide.where("NOT common").drop("common"), ["word"]),
+        tokens.where("word IS NULL").select(*tokens.columns, *unknown),
+    ])
     new = F.when(F.col("pos") == 0, F.col("as_first")).otherwise(F.col("as_later"))
     return found.select(
         *TOKEN, F.col("word").alias("orig"), new.alias("word"), "tag", "split",

@@ -17,18 +17,24 @@ from seqlab.sources.corpora import (
 )
 
 
-def processed(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokens(tok(spark, d))
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' sentences, cut once and written for the several passes over their tokens."""
+    return written(tok(spark, d), "sentences")
+
+
+def processed(spark: SparkSession, d: str, packed: DataFrame | None = None) -> DataFrame:
+    rows = tokens(sentences(spark, d) if packed is None else packed)
     return vocab.preprocess(rows, vocab.word_norms(rows, MIN_FREQ))
 
 
-def allowed_words(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.top_words(processed(spark, d).where("split = 'train'"), TOP_N)
+def allowed_words(spark: SparkSession, d: str, packed: DataFrame | None = None) -> DataFrame:
+    return vocab.top_words(processed(spark, d, packed).where("split = 'train'"), TOP_N)
 
 
 def narrow(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokens(tok(spark, d))
-    return vocab.preprocess(rows, vocab.allowlist_norms(rows, allowed_words(spark, d)))
+    packed = sentences(spark, d)
+    rows = tokens(packed)
+    return vocab.preprocess(rows, vocab.allowlist_norms(rows, allowed_words(spark, d, packed)))
 
 
 # Sources and sinks
@@ -248,7 +254,8 @@ def sentence_filter(spark, d):
     "WINDOW w AS (PARTITION BY src_id, seg ORDER BY pos)) GROUP BY 1, 2",
 )
 def allowed_window4(spark, d):
-    rows = vocab.allowed_windows(tok(spark, d), allowed_words(spark, d))
+    packed = sentences(spark, d)
+    rows = vocab.allowed_windows(packed, allowed_words(spark, d, packed))
     return rows.select("src_id", big("seg").alias("seg"), big("n_allowed").alias("n_allowed"))
 
 
@@ -311,7 +318,8 @@ def anti_sentences(spark, d):
     "SELECT src_id, count(*) AS n_tokens, count(*) FILTER (orig <> word) AS n_changed, CAST(0 AS BIGINT) AS n_missing FROM tok_pre GROUP BY src_id",
 )
 def align_sentences(spark, d):
-    pairs = vocab.align(tokens(tok(spark, d)), processed(spark, d))
+    packed = sentences(spark, d)
+    pairs = vocab.align(tokens(packed), processed(spark, d, packed))
     return pairs.groupBy("src_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.count(F.when(F.col("a_word") != F.col("b_word"), 1)).alias("n_changed"),
@@ -399,8 +407,9 @@ def vocab_with_specials(spark, d):
     "SELECT n_words, n_outside FROM (SELECT count(DISTINCT word) AS n_words, count(DISTINCT word) FILTER (word NOT IN (SELECT word FROM tok_top)) AS n_outside FROM tok_narrow)",
 )
 def subset_check(spark, d):
-    allowed = written(allowed_words(spark, d), "allowed")
-    rows = tokens(tok(spark, d))
+    packed = sentences(spark, d)
+    allowed = written(allowed_words(spark, d, packed), "allowed")
+    rows = tokens(packed)
     words = written(vocab.preprocess(rows, vocab.allowlist_norms(rows, allowed)).select("word").distinct(), "words")
     missing = vocab.outside(words, allowed)
     return words.agg(F.count(F.lit(1)).alias("n_words")).select("n_words", missing.agg(F.count(F.lit(1))).scalar().alias("n_outside"))

@@ -78,3 +78,20 @@ def test_narrow_words_stay_in_the_list(spark):
     rows = tokens(make_sentences(spark, [[("a", "X"), ("b", "X"), ("Zed", "X")]]))
     allowed = spark.createDataFrame([("a",), ("lowercase",), ("initCap",)], "word string")
     assert vocab.outside(vocab.preprocess(rows, vocab.allowlist_norms(rows, allowed)), allowed).count() == 0
+
+
+def test_preprocess_shuffles_only_rarer_words(spark, monkeypatch):
+    """Words that are a large share of the tokens are not handed to the shuffled look-up; null words stay."""
+    monkeypatch.setattr(vocab, "MAX_HEAVY", 4, raising=False)
+    given, keep = [], vocab.lookup
+    monkeypatch.setattr(vocab, "lookup", lambda left, *rest: given.append(left) or keep(left, *rest))
+    words = ["the"] * 5 + ["Cats", "x9", None]
+    rows = spark.createDataFrame(
+        [(1, 0, i, w, "X", "train") for i, w in enumerate(words)],
+        "src_id long, seg int, pos int, word string, tag string, split string",
+    )
+    out = vocab.preprocess(rows, vocab.word_norms(rows, 2))
+    got = [(r.orig, r.word, r.replaced) for r in out.orderBy("pos").collect()]
+    assert got[:5] == [("the", "the", False)] * 5
+    assert got[5:] == [("Cats", "initCap", True), ("x9", "containsDigitAndAlpha", True), (None, None, None)]
+    assert sorted(r.word for r in given[-1].collect()) == ["Cats", "x9"]
