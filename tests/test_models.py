@@ -206,3 +206,21 @@ def test_scores(spark):
     assert [r.margin for r in got] == pytest.approx([0, -1, -0.5])
     assert [r.gradient for r in got] == pytest.approx([-0.5, -1, -0.54])
     assert [r.constant for r in got] == [0, 0, 0]
+
+
+def test_model_and_corpus_counted_together(spark):
+    """One pass gives the model and the scored trigrams that two passes give."""
+    train = make_sentences(spark, [[(w, "X") for w in s] for s in (["a", "b", "a"], ["a"], ["a", "b", None])])
+    dev = make_sentences(spark, [[(w, "X") for w in s] for s in (["a", "b", "c"], ["a"], ["b", None])], "dev")
+    other = make_sentences(spark, [[("z", "X")]], "test")
+    rows = train.union(dev).union(other)
+    old = ngram.fit(ngram.trigram_counts(train))
+    for scored, part in ((None, rows), (F.col("split") == "dev", dev)):
+        model, grams = ngram.fit_within(rows, F.col("split") == "train", scored)
+        for a, b in zip(model, old):
+            assert sorted(a.collect(), key=repr) == sorted(b.select(a.columns).collect(), key=repr)
+        got, want = ngram.backoff(grams, model), ngram.distinct_probs(part, old)
+        assert sorted(got.collect(), key=repr) == sorted(want.select(got.columns).collect(), key=repr)
+        # The trigrams are counted already: only pairs and words are joined.
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == 4
