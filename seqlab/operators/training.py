@@ -20,10 +20,12 @@ Both go on from given weights, also when the vocabulary has grown since.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ BIAS = -1  # the row of the bias in a table of weights
 PAIRS = 5
 #: Lengths of a step that one aggregate tries.
 STEPS = [0.0, 0.05, 0.3, 1.0, 3.0, 12.0]
+#: Weights of which each part of :func:`epochs` gets all; of more it gets those that it needs.
+FEW_WEIGHTS = 100_000
 
 
 class Trained(NamedTuple):
@@ -53,6 +57,11 @@ def _vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
 def _zeros(k: int) -> Column:
     return F.array_repeat(F.lit(0.0), k)
 
@@ -302,48 +311,89 @@ def _packed(vocab: DataFrame, weights: DataFrame, bias, tags: list[str]) -> Line
 # Mini-batches
 
 
-def descend(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, b: np.ndarray, rates: list[float], reg: float, batch: int):
-    """Passes over rows in order, one per rate, in batches: active columns ``x``, targets ``y``.
+class Part(NamedTuple):
+    """The rows of a part as flat arrays: ``at`` holds the columns of all rows one after another."""
+
+    at: np.ndarray
+    ends: np.ndarray  # where the columns of each row end
+    y: np.ndarray  # targets, a row each
+
+    def sums(self, w: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Sums of the weights of the rows from ``low`` to ``high``, a row of them for each class of ``w``."""
+        begin = int(self.ends[low - 1]) if low else 0
+        ends = self.ends[low:high] - begin
+        starts = np.concatenate([[0], ends[:-1]])
+        some = np.flatnonzero(ends > starts)  # sums over no columns are none
+        out = np.zeros((len(w), high - low))
+        if len(some):
+            cells = w.take(self.at[begin : begin + int(ends[-1])], axis=1)
+            out[:, some] = np.add.reduceat(cells, starts[some], axis=1)
+        return out
+
+
+def descend(part: Part, w: np.ndarray, b: np.ndarray, rates: list[float], reg: float, batch: int):
+    """Passes over the rows in order, one per rate, in batches; ``w`` has a row for each class.
 
     Weights are kept as ``scale * w``, so that the penalty shrinks all of them by one product; after
     each pass every feature's mean over the classes, and that of the bias, is taken away.
     """
-    flat = np.concatenate(x) if x else np.zeros(0, np.int64)
-    ends = np.cumsum([len(r) for r in x])
-    row = np.repeat(np.arange(len(x)), [len(r) for r in x])
+    n, k = part.y.shape
+    batches = []
+    for low in range(0, n, batch):
+        high = min(low + batch, n)
+        begin, end = (int(part.ends[low - 1]) if low else 0), int(part.ends[high - 1])
+        of = np.repeat(np.arange(high - low), np.diff(part.ends[low:high], prepend=begin))
+        cells = (part.at[begin:end] + np.arange(k)[:, None] * w.shape[1]).ravel()
+        batches.append((low, high, of, cells, part.y[low:high].T.copy()))
     w, b = w.copy(), b.copy()
+    flat = w.reshape(-1)  # the same numbers, the classes one after another
     for rate in rates:
         scale = 1.0
-        for low in range(0, len(x), batch):
-            high = min(low + batch, len(x))
-            a, z = (ends[low - 1] if low else 0), ends[high - 1]
-            of, at = row[a:z] - low, flat[a:z]
-            scores = np.zeros((high - low, len(b)))
-            np.add.at(scores, of, w[at])
-            scores = scores * scale + b
-            p = np.exp(scores - scores.max(axis=1, keepdims=True))
-            gap = y[low:high] - p / p.sum(axis=1, keepdims=True)
+        for low, high, of, cells, y in batches:
+            scores = part.sums(w, low, high) * scale + b[:, None]
+            p = np.exp(scores - scores.max(axis=0))
+            gap = y - p / p.sum(axis=0)
             keep = 1.0 - 2.0 * reg * rate
-            b += gap.mean(axis=0) * rate
-            np.add.at(w, at, gap[of] * (rate / (scale * keep) / (high - low)))
+            b += gap.mean(axis=1) * rate
+            gap *= rate / (scale * keep) / (high - low)
+            np.add.at(flat, cells, gap.take(of, axis=1).ravel())
             scale *= keep
             if scale < 1e-3:
                 w *= scale
                 scale = 1.0
         w *= scale
-        w -= w.mean(axis=1, keepdims=True)
+        w -= w.mean(axis=0)
         b -= b.mean()
     return w, b
 
 
-def _arrays(rows: pd.DataFrame, weights: pd.DataFrame, k: int):
-    rows = rows.sort_values("order", kind="stable")
-    weights = weights.sort_values("idx")
-    known = weights["idx"].to_numpy()
-    x = [np.searchsorted(known, np.sort(np.asarray(r))) for r in rows["idx"]]
-    y = np.array(rows["target"].to_list(), float).reshape(-1, k)
-    w = np.array(weights["w"].to_list(), float).reshape(-1, k)
-    return known, x, y, w
+def _packed_part(table: pa.Table) -> pa.Table:
+    """The rows of one part, (part, order, features, target), as one row of arrays in their order.
+
+    ``names`` are the features of the part in the order of their bytes; ``at`` says for each feature of each row,
+    sorted within the row, where its name stands.
+    """
+    table = table.take(pc.sort_indices(table, sort_keys=[("order", "ascending")])).combine_chunks()
+    features, target = (pa.concat_arrays(table.column(c).chunks) for c in ("features", "target"))
+    counts = features.value_lengths().to_numpy(zero_copy_only=False)
+    coded = features.flatten().dictionary_encode()
+    by_name = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(by_name), np.int64)
+    rank[by_name] = np.arange(len(by_name))
+    at = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(by_name) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = at[np.lexsort((at, row))]
+    columns = {
+        "part": pa.array([table.column("part")[0].as_py()], pa.int32()),
+        "names": pa.array([coded.dictionary.take(pa.array(by_name))], pa.list_(pa.string())),
+        "at": list_array(at.astype(np.int32), np.array([len(at)]), pa.int32()),
+        "ends": list_array(np.cumsum(counts).astype(np.int32), np.array([len(counts)]), pa.int32()),
+        "target": list_array(target.flatten().to_numpy(zero_copy_only=False), np.array([len(target.flatten())]), pa.float64()),
+    }
+    return pa.table(columns)
+
+
+PACKED = "part int, names array<string>, at array<int>, ends array<int>, target array<double>"
 
 
 def stopped(losses: list[float], improvement: float) -> bool:
@@ -372,7 +422,7 @@ def epochs(
     counts with what the penalty left of its weight. Then the loss is taken; training ends when it no
     longer beats the mean of the nine before it by ``improvement``. With one part this is plain mini-batch descent.
     """
-    k = len(tags)
+    k, batch_rows = len(tags), batch
     vocab = numbered_features(rows, start)
     key = draw_key(seed, *[F.col(c) for c in TOKEN])
     named = rows.select(*TOKEN, F.array_distinct("features").alias("features"), "target")
@@ -382,37 +432,68 @@ def epochs(
     weights = written(_first_weights(vocab, start, k), "weights")
     if not n_rows:
         return Trained(_packed(vocab, weights, bias, tags), 0.0, 0, 0.0, True), []
-    dealt = named.select(*TOKEN, "features", "target", key.alias("order"))
-    dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int")), "examples")
-    known = dealt.select(*TOKEN, F.explode_outer("features").alias("feature")).join(vocab, "feature", "left")
-    # A list leaves out the null of a row without features.
-    indexed = dealt.drop("features").join(known.groupBy(*TOKEN).agg(F.collect_list("idx").alias("idx")), TOKEN)
-    examples = written(indexed.select("part", "order", "idx", "target"), "examples")
-    discard(dealt)
-    needed = written(examples.select("part", F.explode("idx").alias("idx")).distinct(), "needed")
+    # A row whose key is not whole counts, but is in no part.
+    whole_key = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in TOKEN])
+    names = F.coalesce(F.filter("features", lambda f: f.isNotNull()), F.array().cast("array<string>"))
+    dealt = named.where(whole_key).select(key.alias("order"), names.alias("features"), "target")
+    dealt = dealt.select(F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int").alias("part"), "order", "features", "target")
+    # Each part is one row of arrays from here on: passes read it where it lies, only weights move.
+    packed = written(dealt.groupBy("part").applyInArrow(_packed_part, PACKED), "packed")
+    each = packed.select("part", F.explode("names").alias("feature")).join(vocab, "feature")
+    needed = written(each.select("part", "idx"), "needed")
+    known = needed.groupBy("part").agg(F.array_sort(F.collect_list("idx")).alias("idx"))
+    # Names are numbered in their order, so the numbers of a part lie as its names do.
+    examples = written(packed.drop("names").join(known, "part", "left"), "examples")
+    discard(packed)
+    few = vocab.limit(FEW_WEIGHTS // k + 1).count() <= FEW_WEIGHTS // k
+
+    def with_weights(weights: DataFrame) -> DataFrame:
+        """The parts with the weights that they need: all of them where they are few."""
+        rows = F.collect_list(F.struct("idx", "w")).alias("weights")
+        if few:
+            return examples.crossJoin(F.broadcast(weights.agg(rows)))
+        held = needed.join(weights, "idx").groupBy("part").agg(rows)
+        return examples.join(held, "part", "left")
 
     def per_part(weights: DataFrame, bias: np.ndarray, rates: list[float]) -> DataFrame:
         """Rows (idx, n, kept, w) of each part after passes with ``rates``; the row of the bias carries the loss
         before them."""
 
-        def work(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            names, x, y, w = _arrays(left, right, k)
-            scores = np.array([w[r].sum(axis=0) for r in x]).reshape(-1, k) + bias
-            top = scores.max(axis=1)
-            total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-            loss = float((total * y.sum(axis=1) - (y * scores).sum(axis=1)).sum())
-            b = bias
-            if rates:
-                w, b = descend(x, y, w, bias, rates, reg, batch)
-            kept = float(np.prod([(1.0 - 2.0 * reg * r) ** -(-len(x) // batch) for r in rates]))
-            out = pd.DataFrame({"idx": np.append(names, BIAS), "n": len(x), "kept": kept, "loss": 0.0})
-            out["w"] = [*w, b]
-            out.loc[len(out) - 1, "loss"] = loss
-            return out
-
-        both = needed.join(weights, "idx").select("part", "idx", "w")
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+                held = piece.column("weights").flatten()
+                numbers = held.field("idx").to_numpy() if len(held) else np.zeros(0, np.int64)
+                cells = held.field("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, k) if len(held) else np.zeros((0, k))
+                at, ends, y, idx = (
+                    piece.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "ends", "target", "idx")
+                )
+                by_number = np.argsort(numbers)
+                w = np.ascontiguousarray(cells[by_number[np.searchsorted(numbers, idx, sorter=by_number)]].T)
+                part = Part(at.astype(np.intp), ends, y.reshape(-1, k))
+                scores = part.sums(w, 0, len(ends)).T + bias
+                top = scores.max(axis=1)
+                total = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+                loss = float((total * part.y.sum(axis=1) - (part.y * scores).sum(axis=1)).sum())
+                b = bias
+                if rates:
+                    w, b = descend(part, w, bias, rates, reg, batch_rows)
+                kept = float(np.prod([(1.0 - 2.0 * reg * r) ** -(-len(ends) // batch_rows) for r in rates]))
+                out = np.concatenate([w.T, b[None]]).ravel()
+                losses = np.zeros(len(idx) + 1)
+                losses[-1] = loss
+                columns = [
+                    pa.array(np.append(idx, BIAS), pa.int64()),
+                    pa.array(np.full(len(idx) + 1, len(ends)), pa.int64()),
+                    pa.array(np.full(len(idx) + 1, kept)),
+                    pa.array(losses),
+                    list_array(out, np.full(len(idx) + 1, k), pa.float64()),
+                ]
+                if not rates:  # only the loss is asked for
+                    columns = [c.slice(len(idx)) for c in columns]
+                yield pa.RecordBatch.from_arrays(columns, ["idx", "n", "kept", "loss", "w"])
+
         schema = "idx long, n long, kept double, loss double, w array<double>"
-        return examples.groupBy("part").cogroup(both.groupBy("part")).applyInPandas(work, schema)
+        return with_weights(weights).mapInArrow(work, schema)
 
     def loss_of(weights: DataFrame, bias: np.ndarray) -> float:
         data = per_part(weights, bias, []).where(F.col("idx") == BIAS).agg(F.sum("loss")).first()[0]

@@ -135,3 +135,29 @@ def test_epochs_in_parts(spark):
     _, losses = training.epochs(rows, TAGS, 0.01, 0.5, 0.001, start=first.model, part_rows=60, max_epochs=20)
     assert first.loss > losses[0][1] > losses[1][1]
     assert training.epochs(rows.limit(0), TAGS, 0.01, 0.5, 0.001)[1] == []
+
+
+def test_epochs_with_few_and_with_many_weights(spark, monkeypatch):
+    """Weights that reach each part whole, or as far as it needs them; rows without features count as they did."""
+    rows = linear.hard_targets(frame(spark, examples(6, 200) + [(900 + i, 0, 0, [], TAGS[i % 3]) for i in range(5)]), TAGS)
+    settings = {"part_rows": 40, "max_epochs": 20, "batch": 16}
+    few, losses = training.epochs(rows, TAGS, 0.01, 0.5, 0.001, **settings)
+    monkeypatch.setattr(training, "FEW_WEIGHTS", 10)
+    many, same = training.epochs(rows, TAGS, 0.01, 0.5, 0.001, **settings)
+    names = sorted(r.feature for r in few.model.weights.collect())
+    assert np.allclose(weights_of(few.model, names), weights_of(many.model, names), atol=1e-12)
+    assert np.allclose([x for _, x in losses], [x for _, x in same], atol=1e-12)
+
+
+def test_descent_reads_flat_rows():
+    """A large part takes seconds: there is no loop over its rows."""
+    import time
+
+    rng = np.random.default_rng(7)
+    n, per, width = 20_000, 20, 500
+    at = np.sort(rng.integers(0, width, (n, per)), axis=1).ravel()
+    part = training.Part(at, np.arange(1, n + 1) * per, np.eye(3)[rng.integers(0, 3, n)])
+    began = time.process_time()
+    w, b = training.descend(part, np.zeros((3, width)), np.zeros(3), [0.5] * 10, 0.001, 100)
+    assert time.process_time() - began < 2.0
+    assert np.allclose(w.mean(axis=0), 0.0, atol=1e-12) and abs(b.mean()) < 1e-12
