@@ -148,3 +148,17 @@ def test_metrics_of_a_round_written_twice(spark, tmp_path):
     for _ in range(2):
         append_metrics(rows, str(tmp_path / "m"), "r-1")
     assert committed.read(spark, str(tmp_path / "m")).count() == 1
+
+
+def test_documents_in_pieces_by_their_size(spark, tmp_path, monkeypatch):
+    """Texts of many pieces are dealt to as many tasks, few to none; the sentences are the same."""
+    from seqlab.sources import corpora
+
+    rows = [(i if i % 7 else None, f"Line {i}. Next one, {i % 5}!\nEnd", "en") for i in range(200)] + [(1, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = corpora.tok(spark, str(tmp_path))
+    monkeypatch.setattr(corpora, "PIECE", 256)
+    cut = corpora.tok_pieces(spark, str(tmp_path))
+    size = sum(len(r[1]) for r in rows if r[1])
+    assert cut.rdd.getNumPartitions() == -(-size // 256) > 8
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
