@@ -17,9 +17,11 @@ spelled out in pairs:
    of nodes when the largest overlap that bitmaps and sizes allow is too small, or when all
    its rows are connected already; what remains is compared exactly.
 4. First only neighbouring leaves meet, so that a huge group of near copies costs a chain of
-   leaves, not their square. In candidate groups of several leaves the holders of each segment meet
-   next, of those segments only whose holders are not connected by then: a group that hangs together
-   by passages that many short texts share is never compared pair by pair.
+   leaves, not their square. In candidate groups of several leaves that hang apart by then, sets are put in
+   the order of how rare their shingles are. Sets that link share one of their first shingles, so the
+   holders of each of these meet next, where they are not connected and sizes allow it. What all members of a group have in
+   common comes last in that order, and members that differ in more than a link allows do not reach it: a
+   group that hangs together by a passage that all share is never compared pair by pair.
 """
 
 from __future__ import annotations
@@ -55,6 +57,11 @@ FAN = 8
 #: widest bitmap; where several shingles share a bit, the bound allows for it.
 SPREAD = 64
 BITS = 1 << 16
+#: Cells for each shingle in the table of their counts, the most of all, and those of a block. The table is broadcast;
+#: where shingles share a cell, some pass for more frequent than they are.
+CELLS = 4
+MOST_CELLS = 1 << 24
+CELL_BLOCK = 1 << 16
 
 
 class Sizes:
@@ -522,74 +529,153 @@ def _tree_stage(members: DataFrame, percent: int) -> DataFrame:
     return first if more is None else first.union(more)
 
 
+def _cells(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (mix(hashes ^ np.uint64(0x6A09E667F3BCC909)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """Of each of ``size`` cells, how many shingles of ``rows(members)`` fall into it, up to 255."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.uint8)
+        for batch in batches:
+            hashes = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            cells, n = np.unique(_cells(hashes, size), return_counts=True)
+            held[cells] = np.minimum(held[cells] + n, 255)
+        cells = np.flatnonzero(held)
+        at = (cells % CELL_BLOCK).astype(np.uint16).view(np.int16)
+        columns = [(at, pa.int16()), (held[cells].view(np.int8), pa.int8())]
+        yield pa.RecordBatch.from_arrays(by_block(cells // CELL_BLOCK, columns), ["block", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        at, n = flat(table, "at").view(np.uint16), flat(table, "n").view(np.uint8)
+        total = np.minimum(np.bincount(at, n, CELL_BLOCK), 255).astype(np.uint8)
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    each = rows.select("members").mapInArrow(count, "block int, at array<short>, n array<byte>")
+    counts = np.zeros(size, np.uint8)
+    for block, held in each.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
+        counts[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(held, np.uint8)
+    return counts
+
+
+def prefix_keys(
+    hashes: np.ndarray, text: np.ndarray, counts: np.ndarray, held: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, text, most) of the first shingles of each set, from the rarest to the most frequent.
+
+    ``held`` says how often each shingle occurs, at least. The order is the same in all sets. Of two sets that
+    link, what comes before their first common shingle is missing in the other, so the rest has to suffice:
+    that bounds the size of the other set by ``most``, and where it is too small for a link the prefix ends.
+    """
+    order = np.lexsort((mix(hashes), held, text))
+    own = counts[text]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    most = (own - place) * (100 + percent) // percent - own
+    # A shingle that occurs once is in no other set.
+    send = (most * 100 >= own * percent) & (held[order] > 1)
+    return hashes[order][send], text[send], most[send]
+
+
 def _keys_of(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, known): the segments of ``rows(doc, known, members)``."""
+    """(key, doc, known, size, most): the :func:`prefix_keys` of ``rows(doc, known, members)``."""
+    n = rows.agg(F.sum(F.size("members"))).first()[0] or 0
+    size = min(MOST_CELLS, max(CELL_BLOCK, 1 << (CELLS * n).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(_shingle_counts(rows, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in batches:
             lists = batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
+            counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             text = np.repeat(np.arange(len(counts)), counts)
-            keys, owner = segment_keys(hashes, text, counts, sizes)
+            keys, owner, most = prefix_keys(hashes, text, counts, shared.value[_cells(hashes, size)], percent)
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
-                ["key", "doc", "known"],
-            )
+            columns = [
+                pa.array(keys.view(np.int64)),
+                batch.column(0).take(at),
+                batch.column(1).take(at),
+                pa.array(counts[owner]),
+                pa.array(most),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "known", "size", "most"])
 
-    return rows.select("doc", "known", "members").mapInArrow(run, "key long, doc long, known long")
+    schema = "key long, doc long, known long, size long, most long"
+    return rows.select("doc", "known", "members").mapInArrow(run, schema)
 
 
 def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
-    """Links in the candidate groups of several leaves, segment by segment.
-
-    Documents that link have a segment in common, so it is enough that the holders of each
-    segment meet, and only of segments whose holders are not all connected by now. Segments with
-    the same holders count once. Holders beyond the size of a leaf are cut into leaves, of which
-    those pairs meet in which components are apart.
+    """Links in the candidate groups of several leaves that are not connected by now.
+
+    Documents that link have a shingle of their prefixes in common, so it is enough that the holders of each
+    such shingle meet, and only of those whose holders are not all connected. Shingles with the same
+    holders count once, for the first of them. Holders beyond the size of a leaf are cut into leaves, of which those
+    pairs meet in which components are apart and sizes allow a link. Components that fill leaves have
+    their own, so that a few documents that are apart meet each of them once. *Late* holders can only
+    link with smaller sets, so no two of them link.
     """
     wide = written(salted.where("salts > 1").select("cluster").distinct(), "wide_clusters")
     if wide.isEmpty():
         return None
     known = components(first).select(F.col("id").alias("doc"), "component")
     rows = salted.join(wide, "cluster", "left_semi").join(known, "doc", "left")
-    rows = written(rows.select("doc", "members", F.coalesce("component", "doc").alias("known")), "wide")
+    rows = rows.select("cluster", "doc", "members", F.coalesce("component", "doc").alias("known"))
+    ends = rows.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    rows = rows.join(written(ends.where("low < high").select("cluster"), "split_clusters"), "cluster", "left_semi")
+    rows = written(rows.select("doc", "members", "known"), "wide")
     keys = _keys_of(rows, percent)
-    # A document with several rows holds a segment once, or it would drop out of ``who``.
+    # Keys without sizes may all meet.
+    free = [F.lit(0).cast("long").alias(c) for c in ("size", "most") if c not in keys.columns]
+    keys = keys.select("*", *free)
+    # A document with several rows holds a shingle once, or it would drop out of ``who``.
     if not rows.groupBy("doc").count().where("count > 1").isEmpty():
-        keys = keys.distinct()
-    keys = written(keys, "wide_keys")
+        keys = keys.groupBy("key", "doc", "known").agg(F.min("size").alias("size"), F.max("most").alias("most"))
+    keys = written(keys.withColumn("late", F.col("most") < F.col("size")), "wide_keys")
+    ends = [F.min("known").alias("low"), F.max("known").alias("high"), F.min("size").alias("least"), F.max("most").alias("top")]
     holders = keys.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("doc")).alias("who"),
         F.min("doc").alias("lead"),
-        F.min("known").alias("low"),
-        F.max("known").alias("high"),
+        F.min("late").alias("late"),
+        *ends,
     )
-    open_keys = holders.where("low < high").groupBy("who", "n", "lead").agg(F.min("key").alias("key"))
-    salts = F.ceil(F.col("n") / LEAF).cast("int")
-    open_keys = written(open_keys.select("key", "lead", salts.alias("salts")), "open_keys")
-    salt = F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt")
-    placed = keys.join(open_keys, "key").select("key", "lead", "salts", "doc", "known", salt)
-    placed = written(placed, "placed")
-    leaves = placed.groupBy("key", "salt").agg(F.min("known").alias("low"), F.max("known").alias("high"))
-    leaves = written(leaves, "leaves")
-    left, right = leaves.alias("l"), leaves.alias("r")
-    apart = F.least("l.low", "r.low") < F.greatest("l.high", "r.high")
-    # Leaves, not documents: one row per LEAF of them, and only where something is left to join.
-    pairs = left.join(
-        right, (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") <= F.col("r.salt")) & apart
-    ).select(
-        F.col("l.key").alias("key"),
-        F.explode(F.array_distinct(F.array("l.salt", "r.salt"))).alias("salt"),
-        F.xxhash64("l.key", "l.salt", "r.salt").alias("pair"),
+    # The first of the shingles with the same holders leaves most to link with.
+    open_keys = holders.where("low < high AND NOT late").groupBy("who", "n", "lead").agg(
+        F.max_by(F.struct("key", "least", "top"), "top").alias("k")
     )
-    met = placed.join(written(pairs, "leaf_pairs"), ["key", "salt"])
+    open_keys = written(open_keys.select("k.*", "lead", "n"), "open_keys")
+    placed = keys.join(open_keys, "key").where("most >= least AND size <= top")
+    placed = written(placed.select("key", "lead", "n", "doc", "known", "size", "most", "late"), "placed")
     # Keys of one leaf with the same first holder go together: they have most holders in common.
-    where = F.when(F.col("salts") == 1, _bin("lead")).otherwise(_bin("pair"))
-    met = written(met.select(F.pmod(where, F.lit(block_count(rows))).alias("bin"), "pair", "doc", "known"), "met")
+    blocks = F.lit(block_count(rows))
+    met = placed.where(F.col("n") <= LEAF).select(
+        F.pmod(_bin("lead"), blocks).alias("bin"), F.col("key").alias("pair"), "doc", "known"
+    )
+    many = placed.where(F.col("n") > LEAF)
+    held = many.groupBy("key", "known", "late").agg(F.count("*").alias("held"))
+    family = F.when(F.col("held") > LEAF, F.xxhash64("key", "late", "known")).otherwise(F.xxhash64("key", "late"))
+    held = written(held.withColumn("family", family), "holder_counts")
+    if not held.isEmpty():
+        salts = held.groupBy("family").agg(F.ceil(F.sum("held") / LEAF).cast("int").alias("salts"))
+        leaf = F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("salts")))
+        many = many.join(held.join(salts, "family").drop("held"), ["key", "known", "late"])
+        many = written(many.select("key", "doc", "known", "size", "most", "late", leaf.alias("leaf")), "placed")
+        leaves = written(many.groupBy("key", "leaf", "late").agg(*ends), "leaves")
+        left, right = leaves.alias("l"), leaves.alias("r")
+        apart = F.least("l.low", "r.low") < F.greatest("l.high", "r.high")
+        may_link = (F.col("l.least") <= F.col("r.top")) & (F.col("r.least") <= F.col("l.top"))
+        may_link &= ~(F.col("l.late") & F.col("r.late"))
+        # Leaves, not documents: one row per LEAF of them, and only where something is left to join.
+        pairs = left.join(
+            right, (F.col("l.key") == F.col("r.key")) & (F.col("l.leaf") <= F.col("r.leaf")) & apart & may_link
+        ).select(
+            F.col("l.key").alias("key"),
+            F.explode(F.array_distinct(F.array("l.leaf", "r.leaf"))).alias("leaf"),
+            F.xxhash64("l.leaf", "r.leaf").alias("pair"),
+        )
+        parted = many.join(written(pairs, "leaf_pairs"), ["key", "leaf"])
+        met = met.union(parted.select(F.pmod(_bin("pair"), blocks).alias("bin"), "pair", "doc", "known"))
+    met = written(met, "met")
     sets = met.select("bin", "doc").distinct().join(rows.select("doc", "members"), "doc")
     nothing = F.lit(None)
     spread = met.withColumn("members", nothing.cast("array<long>")).unionByName(

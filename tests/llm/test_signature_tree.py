@@ -86,6 +86,52 @@ def test_repeated_rows_do_not_hide_holders(spark, monkeypatch):
     assert {(min(r), max(r)) for r in found if r.a != r.b} == {(1, 2), (1, 3)}
 
 
+def test_linked_sets_share_a_prefix_key():
+    rng = np.random.default_rng(6)
+    sizes = signature_tree.Sizes(85)
+    body = rng.integers(1, 1 << 60, 90).astype(np.uint64)
+    sets = []
+    for own in list(range(0, 24, 2)) * 8:
+        kept = rng.permutation(body)[: 90 - own // 2 - rng.integers(0, 4)]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(1, 1 << 60, own // 2).astype(np.uint64)])))
+    counts = np.array([len(s) for s in sets])
+    hashes, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+    _, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    keys, owner, most = signature_tree.prefix_keys(hashes, text, counts, np.minimum(n[at], 255).astype(np.uint8), 85)
+    sent = [dict(zip(keys[owner == i].tolist(), most[owner == i].tolist())) for i in range(len(sets))]
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= sizes.least_overlap(counts[i], counts[j]):
+                linked += 1
+                assert any(sent[i][k] >= counts[j] and sent[j][k] >= counts[i] for k in sent[i].keys() & sent[j].keys())
+    assert linked > 100
+
+
+def test_members_too_far_apart_do_not_meet(spark, monkeypatch):
+    """160 sets with a common body, of which 140 link with nothing: the rows that meet do not grow with their square."""
+    body, rng, sets = list(range(1, 101)), random.Random(3), []
+    for k in range(160):
+        own = 2 if k < 20 else 25
+        sets.append(sorted(rng.sample(body, 100 - own) + [1000 * (k + 1) + x for x in range(own)]))
+    salted = spark.createDataFrame(
+        [(k, 9, 2, s) for k, s in enumerate(sets)], "doc long, cluster long, salts int, members array<long>"
+    )
+    met, links = [], signature_tree._links_of
+
+    def counted(rows, percent):
+        met.append(rows.where("pair IS NOT NULL").count())
+        return links(rows, percent)
+
+    monkeypatch.setattr(signature_tree, "LEAF", 8)
+    monkeypatch.setattr(signature_tree, "_links_of", counted)
+    first = spark.createDataFrame([], "a long, b long")
+    found = signature_tree._remaining(salted, first, 85)
+    assert sorted(r.id for r in components(found).where("component = 0").collect()) == list(range(20))
+    assert components(found).count() == 20
+    assert met[0] <= 4 * len(sets)
+
+
 def test_document_with_several_texts(spark):
     a = " ".join(f"a{k}" for k in range(60))
     b = " ".join(f"b{k}" for k in range(60))
