@@ -47,7 +47,7 @@ from seqlab.llm.arrow_text import (
 )
 from seqlab.llm.components import Forest, components
 from seqlab.llm.lz_dedup import block_count, by_block, first_of, flat
-from seqlab.session import written
+from seqlab.session import discard, written
 
 #: Most sets and most shingles of a leaf, and children of a node of the tree.
 LEAF = 256
@@ -525,7 +525,7 @@ def _tree_stage(members: DataFrame, percent: int) -> DataFrame:
         "members",
     ).withColumn("bin", _bin("pair"))
     first = written(_links_of(spread, percent), "links")
-    more = _remaining(salted, first, percent)
+    more = _remaining(salted, first, percent, members)
     return first if more is None else first.union(more)
 
 
@@ -604,7 +604,9 @@ def _keys_of(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", "known", "members").mapInArrow(run, schema)
 
 
-def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
+def _remaining(
+    salted: DataFrame, first: DataFrame, percent: int, members: DataFrame | None = None
+) -> DataFrame | None:
     """Links in the candidate groups of several leaves that are not connected by now.
 
     Documents that link have a shingle of their prefixes in common, so it is enough that the holders of each
@@ -612,7 +614,8 @@ def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame |
     holders count once, for the first of them. Holders beyond the size of a leaf are cut into leaves, of which those
     pairs meet in which components are apart and sizes allow a link. Components that fill leaves have
     their own, so that a few documents that are apart meet each of them once. *Late* holders can only
-    link with smaller sets, so no two of them link.
+    link with smaller sets, so no two of them link. ``members``, from which ``salted`` comes, is not read again
+    and deleted.
     """
     wide = written(salted.where("salts > 1").select("cluster").distinct(), "wide_clusters")
     if wide.isEmpty():
@@ -623,6 +626,7 @@ def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame |
     ends = rows.groupBy("cluster").agg(F.min("known").alias("low"), F.max("known").alias("high"))
     rows = rows.join(written(ends.where("low < high").select("cluster"), "split_clusters"), "cluster", "left_semi")
     rows = written(rows.select("doc", "members", "known"), "wide")
+    discard(members)
     keys = _keys_of(rows, percent)
     # Keys without sizes may all meet.
     free = [F.lit(0).cast("long").alias(c) for c in ("size", "most") if c not in keys.columns]
@@ -646,6 +650,7 @@ def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame |
     open_keys = written(open_keys.select("k.*", "lead", "n"), "open_keys")
     placed = keys.join(open_keys, "key").where("most >= least AND size <= top")
     placed = written(placed.select("key", "lead", "n", "doc", "known", "size", "most", "late"), "placed")
+    discard(keys)
     # Keys of one leaf with the same first holder go together: they have most holders in common.
     blocks = F.lit(block_count(rows))
     met = placed.where(F.col("n") <= LEAF).select(
@@ -681,4 +686,6 @@ def _remaining(salted: DataFrame, first: DataFrame, percent: int) -> DataFrame |
     spread = met.withColumn("members", nothing.cast("array<long>")).unionByName(
         sets.select("bin", nothing.cast("long").alias("pair"), "doc", nothing.cast("long").alias("known"), "members")
     )
-    return written(_links_of(spread, percent), "links")
+    links = written(_links_of(spread, percent), "links")
+    discard(rows)
+    return links
