@@ -224,3 +224,50 @@ def test_model_and_corpus_counted_together(spark):
         # The trigrams are counted already: only pairs and words are joined.
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join LeftOuter") == 4
+
+
+def in_pieces(spark, empty_piece=False):
+    """Sentences in pieces, with a null word, a copy in another piece and ids that repeat or are null."""
+    said = [
+        (1, 0, "train", ["a", "b", "a"]), (1, 1, "train", ["a"]), (2, 0, "train", ["a", "b", None]), (2, 0, "train", ["a", "b", None]),
+        (3, 0, "dev", ["a", "b", "c"]), (3, 1, "dev", ["é", "b"]), (None, 0, "dev", ["a"]), (None, 0, "train", ["b", "a", "b"]),
+        (4, 0, "test", ["z"]), (4, 1, None, ["a", "b"]), (5, 0, "dev", ["c"]),
+    ]
+    rows = [(i, g, s, w, i and 7 * i % 5 or 0) for i, g, s, w in said]
+    return spark.createDataFrame(rows, "src_id long, seg int, split string, words array<string>, piece int")
+
+
+def exchanged(df):
+    """The keys by which rows are shuffled."""
+    import re
+
+    return re.findall(r"hashpartitioning\((\w+)#", df._jdf.queryExecution().executedPlan().toString())
+
+
+def near(rows):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+
+
+def test_sentences_are_scored_in_their_pieces(spark):
+    """Pieces give what joins give, and no token or trigram is shuffled."""
+    rows = in_pieces(spark)
+    model, grams = ngram.fit_within(rows, F.col("split") == "train")
+    got = ngram.sentence_loglik(rows, model, 0.4, 0.5, grams)
+    old = ngram.fit(ngram.trigram_counts(rows.where("split = 'train'")))
+    want = ngram.sentence_loglik(rows.drop("piece"), old, 0.4, 0.5)
+    assert near(got.collect()) == near(want.select(got.columns).collect())
+    assert {*exchanged(got)} <= {"piece", "bucket", "src_id"}
+    for a, b in zip(model, old):
+        assert sorted(a.collect(), key=repr) == sorted(b.select(a.columns).collect(), key=repr)
+
+
+def test_pieces_know_what_is_joined(spark):
+    """The distinct trigrams of pieces come with all counts: nothing is joined, and no row of words is shuffled."""
+    rows = in_pieces(spark)
+    old = ngram.fit(ngram.trigram_counts(rows.where("split = 'train'")))
+    for scored, part in ((None, rows), (F.col("split") == "dev", rows.where("split = 'dev'")), (F.lit(False), rows.limit(0))):
+        model, grams = ngram.fit_within(rows, F.col("split") == "train", scored)
+        got, want = ngram.backoff(grams, model), ngram.distinct_probs(part.drop("piece"), old)
+        assert near(got.collect()) == near(want.select(got.columns).collect())
+        assert {*exchanged(got)} <= {"piece", "bucket"}
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
