@@ -271,3 +271,34 @@ def test_pieces_know_what_is_joined(spark):
         assert near(got.collect()) == near(want.select(got.columns).collect())
         assert {*exchanged(got)} <= {"piece", "bucket"}
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_move_packed(spark, monkeypatch):
+    """Trigrams, pairs and words are counted as by rows, with nulls and in several messages a task; no row of words is shuffled."""
+    from seqlab.operators import packed
+
+    monkeypatch.setattr(packed, "HELD", 5)
+    rows = in_pieces(spark).select("words").repartition(2)
+    tri = ngram.trigram_counts(rows)
+    want = ngram.trigram_rows(rows).groupBy(*ngram.GRAM).agg(F.count(F.lit(1)).alias("n"))
+    assert near(tri.collect()) == near(want.collect())
+    bi = ngram.lower_order(tri, "w2", "w3")
+    assert near(bi.collect()) == near(want.groupBy("w2", "w3").agg(F.sum("n")).collect())
+    assert {*exchanged(tri)} | {*exchanged(bi)} == {"bucket"}
+
+
+@pytest.mark.parametrize("opened", [1, 1 << 20])
+def test_shares_of_contexts_read_in_parts(spark, monkeypatch, opened):
+    from seqlab.operators import packed
+
+    monkeypatch.setattr(packed, "OPENED", opened)
+    rows = [("a", "b", f"w{i}", i + 1) for i in range(50)] + [("a", "é", "x", 3), (None, "b", "x", 1), ("", "b", "x", 2), ("a", "b", None, 5)]
+    # The same row twice stays twice, and counts twice in its context.
+    counts = spark.createDataFrame([*rows, rows[0]], "w1 string, w2 string, w3 string, n long").repartition(3)
+    got = ngram.conditional(counts, ["w1", "w2"], "p")
+    total = {}
+    for a, b, _, n in [*rows, rows[0]]:
+        total[a, b] = total.get((a, b), 0) + n
+    want = [(a, b, c, n, None if a is None else round(n / total[a, b], 9)) for a, b, c, n in [*rows, rows[0]]]
+    assert near(got.collect()) == sorted(want, key=repr)
+    assert {*exchanged(got)} == {"bucket"}
