@@ -42,11 +42,7 @@ def narrow(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_counts(rows):
     """How often each sentence, with its tags, was read."""
-    line = F.array_sort(F.collect_list(F.struct("pos", "word", "tag")))
-    packed = rows.groupBy("file", "sentence").agg(line.alias("l"))
-    tags = F.array_join(F.col("l.tag"), " ").alias("tags")
-    words = F.array_join(F.col("l.word"), " ").alias("words")
-    return packed.select(words, tags).groupBy("words", "tags").agg(F.count(F.lit(1)).alias("n"))
+    return files.sentences(rows).groupBy("words", "tags").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sentence_counts_sql(source):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,47 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
     return _tokens(spark, path, "docs")
 
 
+def sentences(tokens: DataFrame) -> DataFrame:
+    """The ``words`` and ``tags`` of each sentence that :func:`read_conll` or :func:`read_docs` gives, joined by blanks.
+
+    The reader hands out whole sentences, token by token, so they are put together where they were read.
+    """
+
+    def joined(table: pa.Table, starts: np.ndarray, column: str) -> pa.Array:
+        texts = table[column].combine_chunks()
+        known = texts.is_valid().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(known)])[np.append(starts, len(texts))]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts.drop_null())
+        return pc.binary_join(lists, " ")
+
+    def put(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([joined(table, starts, c) for c in ("word", "tag")], ["words", "tags"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the tokens of the last sentence, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, places = batch["file"].dictionary_encode().indices.to_numpy(), batch["sentence"].to_numpy()
+            new = np.flatnonzero((np.diff(places) != 0) | (np.diff(files) != 0)) + 1
+            first = (batch["file"][0].as_py(), int(places[0]))
+            if held and (held[-1]["file"][-1].as_py(), held[-1]["sentence"][-1].as_py()) != first:
+                yield put(pa.Table.from_batches(held), np.zeros(1, np.int64))
+                held = []
+            if len(new):
+                last = int(new[-1])
+                before = sum(b.num_rows for b in held)
+                table = pa.Table.from_batches([*held, batch.slice(0, last)])
+                yield put(table, np.concatenate([[0], new[:-1] + before]))
+                held = []
+                batch = batch.slice(last)
+            held.append(batch)
+        if held:
+            yield put(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    return tokens.select("file", "sentence", "word", "tag").mapInArrow(read, "words string, tags string")
+
+
 def write_conll(sentences: DataFrame, path: str) -> None:
     line = F.transform(
         F.arrays_zip("words", "tags"),

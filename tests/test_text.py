@@ -95,3 +95,22 @@ def test_preprocess_shuffles_only_rarer_words(spark, monkeypatch):
     assert got[:5] == [("the", "the", False)] * 5
     assert got[5:] == [("Cats", "initCap", True), ("x9", "containsDigitAndAlpha", True), (None, None, None)]
     assert sorted(r.word for r in given[-1].collect()) == ["Cats", "x9"]
+
+
+def test_sentences_are_put_together_where_they_are_read(spark, tmp_path):
+    """Sentences that go on over batches, ranges and blocks are whole, and their tokens are not shuffled."""
+    units = [[f"w{k}.{i}\tT{i % 3}" if (k + i) % 7 else f"w{k}.{i}" for i in range(1 + 37 * k % 50)] for k in range(60)]
+    for part in range(2):
+        text = "".join(f"-DOCSTART- {k}\n" + "".join(f"{line}\n" for line in u) for k, u in enumerate(units[part::2]))
+        (tmp_path / f"{part}.txt").write_text(text)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.read.format("column_tags").option("layout", "docs").option("splitBytes", "300").load(str(tmp_path))
+        got = files.sentences(rows)
+        cells = [[line.split("\t") for line in u] for u in units]
+        want = [(" ".join(c[0] for c in u), " ".join(c[1] for c in u if len(c) > 1)) for u in cells]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
