@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.text import ascii_lower, word_class
+from seqlab.operators import packed
 from seqlab.operators.scale import MAX_HEAVY, lookup, number_rows, union_all
 from seqlab.session import written
 from seqlab.sources.corpora import KEY, TOKEN
@@ -116,11 +117,11 @@ def invert_mapping(mapping: DataFrame, key: str, value: str, order: str) -> Data
 
 
 def align(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Positional pairing of two versions of a corpus. ``missing`` marks unpaired tokens."""
+    """Positional pairing of two versions of a corpus, whose tokens move packed. ``missing`` marks unpaired tokens."""
     a = left.select(*TOKEN, F.col("word").alias("a_word"), F.col("tag").alias("a_tag"))
     b = right.select(*TOKEN, F.col("word").alias("b_word"), F.col("tag").alias("b_tag"))
     missing = F.col("a_tag").isNull() | F.col("b_tag").isNull()
-    return a.join(b, TOKEN, "full").withColumn("missing", missing)
+    return packed.paired(a, b, TOKEN).withColumn("missing", missing)
 
 
 def contents(sentences: DataFrame) -> DataFrame:

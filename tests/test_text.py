@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from seqlab.functions.text import word_class
 from seqlab.operators import vocab
 from seqlab.sources import files
+from seqlab.sources.column_tags import ColumnTags
 from seqlab.sources.corpora import tokens
 from tests.conftest import make_sentences
 
@@ -103,6 +104,7 @@ def test_sentences_are_put_together_where_they_are_read(spark, tmp_path):
     for part in range(2):
         text = "".join(f"-DOCSTART- {k}\n" + "".join(f"{line}\n" for line in u) for k, u in enumerate(units[part::2]))
         (tmp_path / f"{part}.txt").write_text(text)
+    spark.dataSource.register(ColumnTags)
     keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -114,3 +116,19 @@ def test_sentences_are_put_together_where_they_are_read(spark, tmp_path):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+
+
+def test_align_pairs_tokens_that_move_packed(spark):
+    """As a full join, with repeated, missing and null keys; no row of words is shuffled."""
+    schema = "src_id long, seg int, pos int, word string, tag string"
+    a = [(1, 0, 0, "a", "X"), (1, 0, 1, "b", None), (1, 0, 1, "b", "Y"), (-7, 2, 0, None, "X"), (None, 0, 0, "n", "X"), (3, 0, 5, "é", "X")]
+    b = [(1, 0, 0, "UNK", "X"), (1, 0, 1, "b", "Y"), (1, 0, 1, "c", "Y"), (-7, 2, 0, "d", "X"), (None, 0, 0, "n", "X"), (9, 1, 0, "z", "X")]
+    left, right = (spark.createDataFrame(x, schema).repartition(3) for x in (a, b))
+    got = vocab.align(left, right)
+    key = ["src_id", "seg", "pos"]
+    one, two = (x.toDF(*key, f"{n}_word", f"{n}_tag") for n, x in (("a", left), ("b", right)))
+    want = one.join(two, key, "full").withColumn("missing", F.col("a_tag").isNull() | F.col("b_tag").isNull())
+    assert got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(src_id" not in plan
