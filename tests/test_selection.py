@@ -230,3 +230,23 @@ def test_first_rows(spark, monkeypatch):
     for n in (0, 1, 2, 9, 25, 49, 50, 99):
         got = sorted(r.id for r in scale.first_rows(rows, ["k", "id"], n, scale.F.col("k")).collect())
         assert got == sorted(order[:n])
+
+
+@pytest.mark.parametrize("most", [2, 100])
+def test_requests_and_prefixes_are_not_broadcast(spark, monkeypatch, most):
+    """What grows with the ids never goes through the driver: only a short guide of draws is broadcast."""
+    from seqlab.operators.linear import LinearModel
+
+    monkeypatch.setattr(sampling, "MAX_HEAVY", most, raising=False)
+    counts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 5)], "word string, n long")
+    asked = spark.range(40).withColumn("u", F.col("id") / 40.0)
+    drawn = sampling.weighted_draw(asked, counts, "word")
+    assert [r.element for r in drawn.orderBy("id").collect()] == ["a"] * 5 + ["b"] * 10 + ["c"] * 25
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most == 100) and ("strategy=merge" in plan) == (most == 2)
+    weights = spark.createDataFrame([("word=a", [1.0, 0.0]), ("prev_word=a", [0.0, 2.0])], "feature string, w array<double>")
+    scorer = sampling.WordScorer(LinearModel(["X", "Y"], weights, [0.0, 0.0]), lambda p: p[0])
+    rows = drawn.select("id", F.array("element", "element").alias("words"), F.array().cast("array<string>").alias("tags"))
+    scored = sampling.score_last_word(rows, scorer, ["id"])
+    assert scored.count() == 40
+    assert "rightHint=(strategy=merge)" in scored._jdf.queryExecution().optimizedPlan().toString()
