@@ -19,7 +19,7 @@ from seqlab.sources.corpora import (
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """The documents' sentences, cut once and written for the several passes over their tokens."""
-    return written(tok(spark, d), "sentences")
+    return written(tok(spark, d), "sentences", compression="zstd")
 
 
 def processed(spark: SparkSession, d: str, packed: DataFrame | None = None) -> DataFrame:
